@@ -94,7 +94,7 @@ def _anchor_rows(docs: DataFrame, k: int, gram: int) -> DataFrame:
 
 
 def _contexts(need: DataFrame) -> DataFrame:
-    """(anchor, doc_id, rid, lo, words) of the contexts wanted of each document."""
+    """(anchor, doc_id, rid, lo, whole, words) of the contexts wanted of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,13 +109,16 @@ def _contexts(need: DataFrame) -> DataFrame:
                 base = w.ptr[row]
                 texts = [short[x:y].tobytes() for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
                 take = pa.array(row + first)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), b["doc_id"].take(take), b["rid"].take(take), pa.array(lo), pa.array(texts, pa.binary())], ["anchor", "doc_id", "rid", "lo", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), b["doc_id"].take(take), b["rid"].take(take), pa.array(lo), inner.field("whole").slice(int(off[0]), int(off[-1] - off[0])), pa.array(texts, pa.binary())], ["anchor", "doc_id", "rid", "lo", "whole", "words"])
 
-    return need.mapInArrow(run, "anchor bigint, doc_id bigint, rid bigint, lo int, words binary")
+    return need.mapInArrow(run, "anchor bigint, doc_id bigint, rid bigint, lo int, whole boolean, words binary")
 
 
-def shard_marks(texts: list[np.ndarray], doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first word, is the first document's) of each k-word window that two documents have. doc: their order."""
+def shard_marks(texts: list[np.ndarray], doc: np.ndarray, whole: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first word, is the first document's) of each k-word window that two documents have.
+
+    doc: the contexts' documents, by order; whole: later documents outside the shard have the same context.
+    """
     size = np.array([len(t) for t in texts])
     m = len(texts)
     ctx = np.repeat(np.arange(m), size + 1)
@@ -133,21 +136,23 @@ def shard_marks(texts: list[np.ndarray], doc: np.ndarray, k: int) -> tuple[np.nd
     n = np.diff(np.append(big, len(sa)))
     of = np.append(doc[ctx], -1)[sa]
     low, high = np.minimum.reduceat(of, big), np.maximum.reduceat(of, big)
-    hit = np.repeat((n > 1) & (low != high), n)
+    left = start[ctx] + size[ctx] - np.arange(len(ctx))
+    alone = np.append(whole[ctx] & (left >= k), False)[sa]
+    hit = np.repeat(low != high, n) | alone
     p = sa[hit]
     return ctx[p], p - start[ctx[p]], of[hit] == np.repeat(low, n)[hit]
 
 
 def _marked(contexts: DataFrame, k: int, shard_words: int) -> DataFrame:
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        ids, rids, los, texts = zip(*rows, strict=True)
+        ids, rids, los, whole, texts = zip(*rows, strict=True)
         d = np.array([np.iinfo(np.int64).max if i is None else i for i in ids])
         r = np.array(rids)
         order = np.lexsort((r, [i is None for i in ids], d))
         new = np.append(True, (d[order][1:] != d[order][:-1]) | (r[order][1:] != r[order][:-1]))
         doc = np.empty(len(d), np.int64)
         doc[order] = np.cumsum(new)
-        c, at, first = shard_marks([np.frombuffer(t, np.uint32) for t in texts], doc, k)
+        c, at, first = shard_marks([np.frombuffer(t, np.uint32) for t in texts], doc, np.array(whole), k)
         s = np.array(los)[c] + at
         # windows that follow each other become one span
         o = np.lexsort((s, first, c))
@@ -160,13 +165,13 @@ def _marked(contexts: DataFrame, k: int, shard_words: int) -> DataFrame:
         rows: list[tuple] = []
         size, now = 0, None
         for b in batches:
-            for a, *row in zip(*(b[c].to_pylist() for c in ("anchor", "doc_id", "rid", "lo", "words")), strict=True):
+            for a, *row in zip(*(b[c].to_pylist() for c in ("anchor", "doc_id", "rid", "lo", "whole", "words")), strict=True):
                 if a != now and size >= shard_words:
                     yield emit(rows)
                     rows, size = [], 0
                 now = a
                 rows.append(tuple(row))
-                size += len(row[3]) // 4
+                size += len(row[4]) // 4
         if rows:
             yield emit(rows)
 
@@ -185,11 +190,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         .withColumn("differ", F.min("ctx").over(one) != F.max("ctx").over(one))
         .withColumn("direct", F.min("rid").over(two) != F.max("rid").over(two))
         .withColumn("kept", F.col("rid") == F.first("rid").over(two.orderBy(*order)))
-        .selectExpr("doc_id", "rid", "lo", "hi", "anchor", "kept", "differ and (not direct or kept) as compare", "direct and not (differ and kept) as direct")
+        .selectExpr("doc_id", "rid", "lo", "hi", "anchor", "kept", "differ and (not direct or kept) as compare", "direct and differ and kept as whole", "direct and not (differ and kept) as direct")
         .where("direct or compare")
     )
     shared = write_table(shared, "anchors")
-    need = shared.where("compare").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("want"))
+    need = shared.where("compare").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "anchor", "whole")).alias("want"))
     texts = docs.alias("d").join(need.alias("n").hint("shuffle_hash"), F.col("d.rid").eqNullSafe(F.col("n.rid")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")))
     found = _marked(_contexts(texts.select("d.doc_id", "d.rid", "d.text", "n.want")), k, shard_words)
     spans = shared.where("direct").select("doc_id", "rid", F.col("lo").alias("s"), F.col("hi").alias("e"), "kept").unionByName(found)
