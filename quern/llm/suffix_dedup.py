@@ -12,8 +12,9 @@ no passage is missed by falling on two shards.
 
 Defined results: documents are told apart by (doc_id, text), so rows equal in both count as one; a repeat within one
 document alone is none; null, empty and texts of fewer than K words have no spans; very long texts count whole; null ids come
-last in order; an empty table gives no spans. ``kept``: the span's windows stand in no earlier document; the spans that
-aren't kept are those which deduplication cuts, so of every passage the first occurrence stays.
+last in order; an empty table gives no spans. spans that aren't ``kept`` hold exactly the
+windows that an earlier document has too, and deduplication cuts them, so of every passage the first occurrence stays; kept spans
+hold the first occurrences, and the ends of both may overlap. Together they are exactly the repeated words.
 """
 
 from __future__ import annotations
