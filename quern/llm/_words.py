@@ -52,6 +52,11 @@ class Words(NamedTuple):
     ptr: np.ndarray
     raw: np.ndarray
     offs: np.ndarray
+    low: np.ndarray  # lower-cased bytes, each at the place of the original
+
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word."""
+        return _span_hashes(self.low, self.start, np.minimum(self.end, self.start + n))
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
@@ -109,26 +114,29 @@ def _hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((acc[ends] - acc[starts]) * down[starts])
 
 
+def _span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``_hashes``, piece by piece where there are many bytes."""
+    if len(b) <= PIECE:
+        return _hashes(b, starts, ends)
+    out = [np.zeros(0, np.uint64)]
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE)))
+        out.append(_hashes(b[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a))
+        i = j
+    return np.concatenate(out)
+
+
 def words(col: pa.Array) -> Words:
     """Tokenise a string array without nulls."""
     raw, offs = buffers(col)
     z = np.zeros(0, np.int64)
     if not len(raw):
-        return Words(np.zeros(0, np.uint64), z, z, np.zeros(len(col) + 1, np.int64), raw, offs)
+        return Words(np.zeros(0, np.uint64), z, z, np.zeros(len(col) + 1, np.int64), raw, offs, raw)
     b, _ = buffers(_lower(col))
     starts, ends = _spans(b, offs[:-1][offs[:-1] < len(b)])
-    if len(b) <= PIECE:
-        h = _hashes(b, starts, ends)
-    else:
-        hs = [np.zeros(0, np.uint64)]
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE)))
-            a = starts[i]
-            hs.append(_hashes(b[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a))
-            i = j
-        h = np.concatenate(hs)
-    return Words(h, starts, ends, np.searchsorted(starts, offs), raw, offs)
+    return Words(_span_hashes(b, starts, ends), starts, ends, np.searchsorted(starts, offs), raw, offs, b)
 
 
 def hash_word(word: str) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, exact_dedup, licenses, orc_tokens, simhash_nsw, suffix_dedup, url_filter
+from quern.llm import decontaminate, exact_dedup, licenses, orc_tokens, quality_fm, simhash_nsw, suffix_dedup, url_filter
 from quern.llm._util import table_path
 
 
@@ -38,6 +38,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.match(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality_fm.score(docs, quality_fm.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     orc_tokens.write(_docs(spark, sf_dir), path := table_path(spark, "tokens.orc"))
     return orc_tokens.read(spark, path)
@@ -47,7 +52,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_suffix_dedup, op6_orc_tokens, op7_license_scan, op8_decontaminate, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_suffix_dedup, op5_quality_fm, op6_orc_tokens, op7_license_scan, op8_decontaminate, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": "SELECT doc_id, dup_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS dup_of, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL) WHERE rn > 1",
