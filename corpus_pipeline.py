@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, exact_dedup
+from quern.llm import decontaminate, exact_dedup, packing, quality_fm, simhash_nsw
 from quern.llm._util import write_table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_fm.keep(docs, quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_nsw.deduplicate(docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact", exact), ("decontaminate", leaks)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", leaks), ("pack", pack)]
+#: Classifier, near copies, leaks and paths have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

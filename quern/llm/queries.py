@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, exact_dedup, licenses, orc_tokens, quality_fm, simhash_nsw, suffix_dedup, url_filter
+from quern.llm import decontaminate, exact_dedup, language_id, licenses, orc_tokens, packing, quality_fm, simhash_nsw, suffix_dedup, url_filter
 from quern.llm._util import table_path
 
 
@@ -52,7 +52,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_suffix_dedup, op5_quality_fm, op6_orc_tokens, op7_license_scan, op8_decontaminate, op10_simhash_dedup)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_url_filter, op4_suffix_dedup, op5_quality_fm, op6_orc_tokens, op7_license_scan, op8_decontaminate, op9_packing, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": "SELECT doc_id, dup_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS dup_of, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL) WHERE rn > 1",
