@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._util import text_views
+from quern.llm._util import text_views, write_table
 from quern.llm._words import Words, words
 
 #: Labelled rows at most that the machines are fitted on.
@@ -74,9 +74,8 @@ def _bucket(value: str | None) -> int:
     return META - 1 if value is None else zlib.crc32(value.encode()) % (META - 1)
 
 
-def vectors(w: Words, meta: list[tuple[str | None, str | None]], slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, values for the two machines, row pointer) of all features of each row, words by their slot if given, -1 being none."""
-    n = len(w.ptr) - 1
+def word_keys(w: Words, slot: np.ndarray | None = None) -> np.ndarray:
+    """Distinct row * features + feature, sorted, of the words and stems; features are buckets, or their slots if given (-1: none)."""
     row = w.row()
     row = np.concatenate([row, row])
     bucket = (np.concatenate([w.hash, ~w.beginnings(STEM)]) & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -85,7 +84,14 @@ def vectors(w: Words, meta: list[tuple[str | None, str | None]], slot: np.ndarra
         bucket, many = slot[bucket], int(slot.max()) + 1
         known = bucket >= 0
         bucket, row = bucket[known], row[known]
-    key = np.unique(row * max(1, many) + bucket)
+    return np.unique(row * max(1, many) + bucket)
+
+
+def vectors(w: Words, meta: list[tuple[str | None, str | None]], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, values for the two machines, row pointer) of all features of each row, words by their slot."""
+    n = len(w.ptr) - 1
+    many = int(slot.max()) + 1
+    key = word_keys(w, slot)
     row = key // max(1, many)
     x = np.stack([1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))[row], np.full(len(key), PRESENT)], axis=1)
     extra = np.empty((n, 2 + STATS), np.int64)
@@ -117,31 +123,23 @@ class Machines(NamedTuple):
         return self.b + lin + 0.5 * (s * s - q).sum(axis=2)
 
 
-def telling(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Words that enough rows have, and whose share of good or of toxic rows differs from the sample's by DEVIATION standard errors."""
-    found = np.concatenate([i for i, _ in rows])
-    label = np.repeat(y, [len(i) for i, _ in rows], axis=0)[found < BUCKETS]
-    found = found[found < BUCKETS]
-    n = np.bincount(found, minlength=BUCKETS)
+def telling(seen: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words that enough rows have, and whose share of good or of toxic rows differs from the sample's by DEVIATION standard errors.
+
+    seen: rows that have each bucket; labelled (BUCKETS, 2): those of them that are good, toxic.
+    """
     use = np.zeros(BUCKETS, bool)
     for h in (0, 1):
         p = y[:, h].mean()
-        off = np.abs(np.bincount(found, label[:, h], minlength=BUCKETS) - n * p)
-        use |= off > DEVIATION * np.sqrt(n * max(p * (1 - p), 1e-4))
-    return use & (n >= LEAST_DOCS)
+        use |= np.abs(labelled[:, h] - seen * p) > DEVIATION * np.sqrt(seen * max(p * (1 - p), 1e-4))
+    return use & (seen >= LEAST_DOCS)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
-    """AdaGrad on logistic loss. rows: (index, value) of each document; y (rows, 2): good, toxic."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
+    """AdaGrad on logistic loss. rows: (feature, value) of each document, words by their slot; y (rows, 2): good, toxic."""
+    many = int(slot.max()) + 1
     if not len(rows):
-        return Machines(np.zeros(2, np.float32), np.zeros((EXTRA, 2), np.float32), np.zeros((EXTRA, 2, RANK), np.float32), np.full(BUCKETS, -1, np.int32))
-    use = telling(rows, y)
-    many = int(use.sum())
-    slot = np.where(use, np.cumsum(use) - 1, -1)
-    own = np.append(slot, many + np.arange(EXTRA))
-    rows = [(own[i][own[i] >= 0], x[own[i] >= 0]) for i, x in rows]
-    for i, x in rows:  # length 1 of the words that are left
-        x[i < many, 0] = 1 / np.sqrt(max(1, (i < many).sum()))
+        return Machines(np.zeros(2, np.float32), np.zeros((EXTRA, 2), np.float32), np.zeros((EXTRA, 2, RANK), np.float32), slot.astype(np.int32))
     v = np.random.default_rng(seed).normal(0, 0.02, (many + EXTRA, 2, RANK)).astype(np.float32)
     m = Machines(np.zeros(2, np.float32), np.zeros((many + EXTRA, 2), np.float32), v, slot.astype(np.int32))
     m.b[:] = np.log((y.mean(axis=0) + 0.01) / (1.01 - y.mean(axis=0)))
@@ -186,24 +184,59 @@ def _inputs(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), get(lang).alias("lang"), get(source).alias("source"))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rows: int = TRAIN_ROWS) -> Machines:
-    """Machines fitted on a bounded sample of ``labels`` (doc_id, quality, toxic)."""
-    labels = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    sample = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(rows)
-    joined = _inputs(docs, doc_id, text, lang, source).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most ``rows`` rows
+def _features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
+    """(doc_id, idx, x, z, quality, toxic) of the rows that have words."""
+    shared = rows.sparkSession.sparkContext.broadcast(slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, view in text_views(b["text"]):
                 w = words(view)
-                has = np.diff(w.ptr) > 0
-                idx, x, ptr = vectors(w, _meta(b, first, len(view)))
+                idx, x, ptr = vectors(w, _meta(b, first, len(view)), shared.value)
                 lists = lambda v, t, p=ptr: pa.ListArray.from_arrays(pa.array(p.astype(np.int32)), pa.array(v.astype(t)))
                 cut = [b[c].slice(first, len(view)).cast(pa.int32()) for c in ("quality", "toxic")]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(view)), lists(idx, np.int32), lists(x[:, 0], np.float32), lists(x[:, 1], np.float32), *cut], ["doc_id", "idx", "x", "z", "quality", "toxic"]).filter(pa.array(has))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(view)), lists(idx, np.int32), lists(x[:, 0], np.float32), lists(x[:, 1], np.float32), *cut], ["doc_id", "idx", "x", "z", "quality", "toxic"]).filter(pa.array(np.diff(w.ptr) > 0))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, idx array<int>, x array<float>, z array<float>, quality int, toxic int")
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, good, toxic) of each word of each row."""
 
-    kind = joined.schema["doc_id"].dataType.simpleString()
-    got = joined.mapInArrow(run, f"doc_id {kind}, idx array<int>, x array<float>, z array<float>, quality int, toxic int").toArrow().combine_chunks()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good, toxic = (np.asarray(pa.compute.equal(b[c], 1)).astype(np.int32) for c in ("quality", "toxic"))
+            for first, view in text_views(b["text"]):
+                w = words(view)
+                key = word_keys(w)
+                row = key // BUCKETS
+                key = key % BUCKETS
+                n = np.bincount(key, minlength=BUCKETS)
+                at = np.flatnonzero(n)
+                sums = [np.bincount(key, y[first + row], minlength=BUCKETS)[at].astype(np.int32) for y in (good, toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (at, n[at], *sums)], ["bucket", "n", "good", "toxic"])
+
+    return rows.mapInArrow(run, "bucket int, n int, good int, toxic int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rows: int = TRAIN_ROWS) -> Machines:
+    """Machines fitted on a bounded sample of ``labels`` (doc_id, quality, toxic); the driver gets the telling words of its rows only."""
+    labels = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    sample = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(rows)
+    joined = _inputs(docs, doc_id, text, lang, source).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most ``rows`` rows
+    joined = write_table(joined.select("doc_id", "text", "lang", "source", "quality", "toxic").where("text is not null"), "quality-sample")
+    y = joined.agg(F.count(F.lit(1)), F.avg((F.col("quality") == 1).cast("int")), F.avg((F.col("toxic") == 1).cast("int"))).first()
+    slot = np.full(BUCKETS, -1, np.int32)
+    if y[0]:
+        found = _buckets(joined).where(F.col("n") >= LEAST_DOCS).toArrow()
+        seen, labelled = np.zeros(BUCKETS), np.zeros((BUCKETS, 2))
+        at = found["bucket"].to_numpy()
+        seen[at] = found["n"].to_numpy()
+        labelled[at, 0], labelled[at, 1] = found["good"].to_numpy(), found["toxic"].to_numpy()
+        use = telling(seen, labelled, np.array([y[1:]], np.float64))
+        slot[use] = np.arange(use.sum())
+    got = _features(joined, slot).toArrow().combine_chunks()
     got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
     data = []
     for c in ("idx", "x", "z"):
@@ -211,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         offs, values = np.asarray(col.offsets), np.asarray(col.values)
         data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
     y = np.stack([np.asarray(got["quality"]) == 1, np.asarray(got["toxic"]) == 1], axis=1).astype(np.float32).reshape(-1, 2)
-    return fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y)
+    return fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, slot)
 
 
 def _probabilities(m: Machines, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
