@@ -43,6 +43,8 @@ _OPEN[[32, *range(97, 123), *range(128, 256)]] = True
 
 def codewords(n: int) -> np.ndarray:
     """(n, bits) of -1 and 1, no column constant and no two rows equal."""
+    if n < 2:
+        return np.zeros((n, 0), np.int8)
     if n <= 5:
         splits = [s for s in itertools.product((1, -1), repeat=n) if s[:1] == (1,) and -1 in s]
         return np.array(splits, np.int8).reshape(-1, n).T

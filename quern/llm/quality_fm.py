@@ -124,23 +124,26 @@ class Machines(NamedTuple):
 
 
 def telling(seen: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Words that enough rows have, and whose share of good or of toxic rows differs from the sample's by DEVIATION standard errors.
+    """(BUCKETS, 2): words that enough rows have, and whose share of good, of toxic rows differs from the sample's by DEVIATION standard errors.
 
     seen: rows that have each bucket; labelled (BUCKETS, 2): those of them that are good, toxic.
     """
-    use = np.zeros(BUCKETS, bool)
-    for h in (0, 1):
-        p = y[:, h].mean()
-        use |= np.abs(labelled[:, h] - seen * p) > DEVIATION * np.sqrt(seen * max(p * (1 - p), 1e-4))
-    return use & (seen >= LEAST_DOCS)
+    p = y.mean(axis=0)
+    use = np.abs(labelled - seen[:, None] * p) > DEVIATION * np.sqrt(seen[:, None] * np.maximum(p * (1 - p), 1e-4))
+    return use & (seen >= LEAST_DOCS)[:, None]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
-    """AdaGrad on logistic loss. rows: (feature, value) of each document, words by their slot; y (rows, 2): good, toxic."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarray, use: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
+    """AdaGrad on logistic loss. rows: (feature, value) of each document, words by their slot; y (rows, 2): good, toxic.
+
+    A machine's weights and factors stay 0 for words that tell nothing of what it scores.
+    """
     many = int(slot.max()) + 1
     if not len(rows):
         return Machines(np.zeros(2, np.float32), np.zeros((EXTRA, 2), np.float32), np.zeros((EXTRA, 2, RANK), np.float32), slot.astype(np.int32))
-    v = np.random.default_rng(seed).normal(0, 0.02, (many + EXTRA, 2, RANK)).astype(np.float32)
+    mask = np.ones((many + EXTRA, 2), np.float32)
+    mask[slot[slot >= 0]] = use[slot >= 0]
+    v = np.random.default_rng(seed).normal(0, 0.02, (many + EXTRA, 2, RANK)).astype(np.float32) * mask[:, :, None]
     m = Machines(np.zeros(2, np.float32), np.zeros((many + EXTRA, 2), np.float32), v, slot.astype(np.int32))
     m.b[:] = np.log((y.mean(axis=0) + 0.01) / (1.01 - y.mean(axis=0)))
     gw, gv, gb = np.full_like(m.w, 1e-3), np.full_like(m.v, 1e-3), np.full(2, 1e-3)
@@ -163,8 +166,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarr
             dw, dv = np.zeros((len(u), 2), np.float32), np.zeros((len(u), 2, RANK), np.float32)
             np.add.at(dw, inv, g[row] * x)
             np.add.at(dv, inv, g[row][:, :, None] * x[:, :, None] * (s[row] - vx))
-            dw += decay * m.w[u]
-            dv += decay * m.v[u]
+            dw = (dw + decay * m.w[u]) * mask[u]
+            dv = (dv + decay * m.v[u]) * mask[u][:, :, None]
             gw[u] += dw * dw
             gv[u] += dv * dv
             m.w[u] -= rate * dw / np.sqrt(gw[u])
@@ -227,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     joined = _inputs(docs, doc_id, text, lang, source).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most ``rows`` rows
     joined = write_table(joined.select("doc_id", "text", "lang", "source", "quality", "toxic").where("text is not null"), "quality-sample")
     y = joined.agg(F.count(F.lit(1)), F.avg((F.col("quality") == 1).cast("int")), F.avg((F.col("toxic") == 1).cast("int"))).first()
-    slot = np.full(BUCKETS, -1, np.int32)
+    slot, use = np.full(BUCKETS, -1, np.int32), np.zeros((BUCKETS, 2), bool)
     if y[0]:
         found = _buckets(joined).where(F.col("n") >= LEAST_DOCS).toArrow()
         seen, labelled = np.zeros(BUCKETS), np.zeros((BUCKETS, 2))
@@ -235,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         seen[at] = found["n"].to_numpy()
         labelled[at, 0], labelled[at, 1] = found["good"].to_numpy(), found["toxic"].to_numpy()
         use = telling(seen, labelled, np.array([y[1:]], np.float64))
-        slot[use] = np.arange(use.sum())
+        slot[use.any(axis=1)] = np.arange(use.any(axis=1).sum())
     got = _features(joined, slot).toArrow().combine_chunks()
     got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
     data = []
@@ -244,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         offs, values = np.asarray(col.offsets), np.asarray(col.values)
         data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
     y = np.stack([np.asarray(got["quality"]) == 1, np.asarray(got["toxic"]) == 1], axis=1).astype(np.float32).reshape(-1, 2)
-    return fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, slot)
+    return fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, slot, use)
 
 
 def _probabilities(m: Machines, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
