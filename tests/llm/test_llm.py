@@ -278,6 +278,30 @@ def test_op9_neighbours_by_brute_force(spark):
     assert got == nearest(feats, packing.NEIGHBOURS, packing.LIST_ROWS)
 
 
+def test_op9_neighbours_are_the_most_similar(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(150):  # relatives that share more and less of a text of rare words, among common ones
+        base = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        for share in (60, 50, 40, 30):
+            own = [f"w{rng.randrange(10**9)}" for _ in range(60 - share)]
+            texts.append(" ".join(rng.sample(base, share) + own + [rng.choice(VOCAB[:40]) for _ in range(60)]))
+    docs = table(spark, texts)
+    weights = packing.word_weights(docs)
+    known = packing.signed(docs, weights).cache()
+    doc = {r["node"]: r["doc_id"] for r in known.collect()}
+    got = {doc[r["node"]]: [doc[x] for x in r["near"]] for r in packing.most_similar(known).collect()}
+    df = Counter(x for t in texts for x in set(t.split()))
+    weight = {x: np.log1p(len(texts) / max(n, packing.COMMON)) ** 2 for x, n in df.items()}
+    sets = [set(t.split()) for t in texts]
+    like = lambda i, j: sum(weight[x] for x in sets[i] & sets[j]) / sum(weight[x] for x in sets[i] | sets[j])
+    hit = 0
+    for i in range(len(texts)):
+        best = sorted((j for j in range(len(texts)) if j != i), key=lambda j: -like(i, j))[: packing.NEIGHBOURS]
+        hit += len(set(best) & set(got.get(i, [])))
+    assert hit >= 0.9 * packing.NEIGHBOURS * len(texts)
+
+
 def test_op9_walks_and_windows(spark, odd, none):
     ids = np.array([1, 2, 3, 4, 5])
     assert packing.walk(ids, [[2], [3], [2], [3, 1], None]) == [4, 0, 1, 2, 3]
