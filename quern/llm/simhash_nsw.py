@@ -9,8 +9,8 @@ documents of at most SKETCH distinct pairs) reaches ``JACCARD``. Edges are union
 
 Every query sent to every shard would be quadratic in the corpus. Here a query is sent to those shards that can
 hold its neighbours: a shard is a value of some sampled code bits, and each node is in one shard of each of ``bands`` samples.
-Bits and bands follow from the number of nodes so that shards keep about ``SHARD_NODES`` nodes and a pair of near copies at
-the typical distance misses all common shards with a probability of at most 2 %.
+Bits and bands follow from the number of nodes so that shards keep about ``SHARD_NODES`` nodes and a pair at ``RADIUS``,
+the farthest that can be an edge, misses all common shards with a probability of at most 2 %. ``audit`` compares sampled nodes with all nodes.
 
 Defined results: null, empty and wordless texts are never near-duplicates; a single word is compared by itself; of a
 group the least doc_id stays (nulls last, then the least text hash); rows equal in id and text are copies of each other, one stays;
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,8 +36,8 @@ RADIUS = 34
 JACCARD = 0.5
 SKETCH = 64
 SHARD_NODES = 16_384
-#: Part of the code's bits that differ in a typical pair, for the number of bands.
-TYPICAL = 0.18
+#: Part of the pairs at the radius that may share no shard.
+MISS = 0.02
 AUDIT, AUDIT_RECALL = 64, 0.95
 _PAD = 0xFFFFFFFF
 
@@ -122,12 +122,12 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return docs.mapInArrow(run, SIGNED.format(kind))
 
 
-def sampling(nodes: int, shard_nodes: int = SHARD_NODES) -> tuple[int, int]:
+def sampling(nodes: int, shard_nodes: int = SHARD_NODES, radius: int = RADIUS) -> tuple[int, int]:
     """(bits, bands) for a number of nodes."""
     bits = max(0, math.ceil(math.log2(max(1, nodes) / shard_nodes)))
     if not bits:
         return 0, 1
-    return bits, max(6, math.ceil(math.log(0.02) / math.log(1 - (1 - TYPICAL) ** bits)))
+    return bits, max(6, math.ceil(math.log(MISS) / math.log(1 - math.comb(128 - radius, bits) / math.comb(128, bits))))
 
 
 class _Union:
@@ -196,8 +196,8 @@ def shard_edges(code: np.ndarray, sk: np.ndarray, radius: int, threshold: float,
     return np.asarray(forest, np.int64).reshape(-1, 2)
 
 
-def _sharded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
-    """Each node once in a shard of each band."""
+def _shards(bits: int, bands: int) -> Column:
+    """A node's shards, one of each band."""
     take = [np.random.default_rng(1000 + b).choice(128, bits, replace=False) for b in range(bands)]
     keys = []
     for b, at in enumerate(take):
@@ -205,7 +205,21 @@ def _sharded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
         for p in at.tolist():
             key = key * 2 + F.getbit("h0" if p < 64 else "h1", F.lit(p % 64)).cast("bigint")
         keys.append(key)
-    return nodes.select("node", "h0", "h1", "sketch", F.explode(F.array(*keys)).alias("shard"))
+    return F.array(*keys)
+
+
+def _sharded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """Each node once in a shard of each band."""
+    return nodes.select("node", "h0", "h1", "sketch", F.explode(_shards(bits, bands)).alias("shard"))
+
+
+def audit(nodes: DataFrame, count: int, radius: int = RADIUS, shard_nodes: int = SHARD_NODES, sample: int = AUDIT) -> DataFrame:
+    """(distance, pairs, met): pairs of about ``sample`` nodes with any of all nodes, by exact search, and those of them that share a shard."""
+    keyed = nodes.select("node", "h0", "h1", _shards(*sampling(count, shard_nodes, radius)).alias("shards"))
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(max(1, count // sample))) == 0).select(*[F.col(c).alias(f"q_{c}") for c in keyed.columns])
+    distance = F.bit_count(F.col("h0").bitwiseXOR(F.col("q_h0"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("q_h1")))
+    pairs = keyed.crossJoin(F.broadcast(some)).withColumn("distance", distance).where((F.col("node") != F.col("q_node")) & (F.col("distance") <= radius))
+    return pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.arrays_overlap("shards", "q_shards")).alias("met"))
 
 
 def edges(nodes: DataFrame, count: int, radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
@@ -219,7 +233,7 @@ def edges(nodes: DataFrame, count: int, radius: int = RADIUS, threshold: float =
         ids = t["node"].to_numpy()
         return pa.table({"a": ids[e[:, 0]], "b": ids[e[:, 1]]})
 
-    bits, bands = sampling(count, shard_nodes)
+    bits, bands = sampling(count, shard_nodes, radius)
     return _sharded(nodes, bits, bands).groupBy("shard").applyInArrow(run, "a bigint, b bigint")
 
 

@@ -364,6 +364,19 @@ def test_op10_groups_and_odd_rows(spark, odd, none):
     assert simhash_nsw.duplicates(none).count() == 0 and simhash_nsw.deduplicate(none).count() == 0
 
 
+def test_op10_pairs_at_the_radius_meet(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1000):
+        code = int.from_bytes(rng.bytes(16), "little")
+        flip = sum(1 << int(p) for p in rng.choice(128, simhash_nsw.RADIUS, replace=False))
+        for c in (code, code ^ flip):
+            rows.append((len(rows), *np.array([c & (1 << 64) - 1, c >> 64], np.uint64).view(np.int64).tolist()))
+    nodes = spark.createDataFrame(rows, "node bigint, h0 bigint, h1 bigint")
+    far = simhash_nsw.audit(nodes, len(rows), shard_nodes=40, sample=len(rows)).where(F.col("distance") == simhash_nsw.RADIUS).first()
+    assert far["pairs"] >= len(rows) and far["met"] >= 0.95 * far["pairs"]
+
+
 def test_op10_graph_recall():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
