@@ -15,11 +15,13 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len, self.end = [-1], [0], [-1]
         self._last, self._n = 0, 0
+        self._prefix: list[int] = []  # the states of whole prefixes, which aren't clones
 
     def add(self, symbol: int) -> None:
         nxt, link, length = self.next, self.link, self.len
         cur = len(nxt)
         nxt.append({})
+        self._prefix.append(cur)
         link.append(0)
         length.append(length[self._last] + 1)
         self.end.append(self._n)
@@ -44,6 +46,26 @@ class SuffixAutomaton:
                 link[q] = link[cur] = clone
         self._last = cur
 
+    def index(self) -> None:
+        """After the last ``add``: the end positions of each state's factors, as a slice of ``ends`` (subtree of suffix links)."""
+        order = sorted(range(1, len(self.len)), key=self.len.__getitem__)
+        own = np.zeros(len(self.len), bool)
+        own[self._prefix] = True
+        size = own.astype(np.int64).tolist()
+        for v in reversed(order):
+            size[self.link[v]] += size[v]
+        self.first, self.ends = np.zeros(len(size), np.int64), np.zeros(len(self._prefix), np.int64)
+        at = [0] * len(size)
+        for v in order:
+            up = self.link[v]
+            start = self.first[v] = at[up]
+            at[up] += size[v]
+            at[v] = start
+            if own[v]:
+                self.ends[start] = self.end[v]
+                at[v] += 1
+        self.count = np.asarray(size)
+
     def statistics(self, symbols: list[int]) -> list[tuple[int, int]]:
         """For each position, the longest match that ends there: (length, state)."""
         nxt, link, length = self.next, self.link, self.len
@@ -65,10 +87,12 @@ class Matcher:
 
     Words outside the items' vocabulary and word pairs outside their pairs end every match, so only runs of known pairs
     are streamed through the automaton; no match of ``least`` words or more is lost by that. Where a match occurs in
-    several items, the one added first is named.
+    several items, the one added first is named; with ``every``, each item has the matches that are maximal for it, at all of
+    its places.
     """
 
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], least: int, every: bool = False) -> None:
+        self.every, self._places = every, {}
         self.least = max(2, least)
         toks = words(pa.array([t for _, t in items], pa.string()))
         self.vocab = np.unique(toks.hash)
@@ -90,6 +114,36 @@ class Matcher:
             self.sam.add(-1 - k)
             self.item_of.append(k)
             self.pos_of.append(-1)
+        if every:
+            self.sam.index()
+
+    def places(self, v: int) -> dict[int, list[int]]:
+        """Items in which the factors of state v occur, with the places where they end."""
+        if v not in self._places:
+            if len(self._places) >= 100_000:
+                self._places.clear()
+            got: dict[int, list[int]] = {}
+            for e in np.sort(self.sam.ends[self.sam.first[v] : self.sam.first[v] + self.sam.count[v]]).tolist():
+                got.setdefault(self.item_of[e], []).append(self.pos_of[e] + 1)
+            self._places[v] = got
+        return self._places[v]
+
+    def _each(self, first: int, stats: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Maximal matches with each item, of a run that starts at word ``first``."""
+        out: list[tuple[int, int, int, int]] = []
+        before: dict[int, tuple[int, int]] = {}
+        for j, (n, v) in enumerate([*stats, (0, 0)]):
+            now: dict[int, tuple[int, int]] = {}
+            while n >= self.least:  # shorter suffixes are in more items
+                for k in self.places(v):
+                    now.setdefault(k, (n, v))
+                v = self.sam.link[v]
+                n = self.sam.len[v]
+            for k, (m, u) in before.items():
+                if k not in now or now[k][0] <= m:
+                    out += [(first + j - m, m, k, e - m) for e in self.places(u)[k]]
+            before = now
+        return out
 
     def matches(self, h: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(first word, words, item's index, item's first word) of each maximal match, words counted over the batch."""
@@ -115,6 +169,9 @@ class Matcher:
         long = hi - lo >= self.least
         for a, b in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
             stats = self.sam.statistics(ids[a:b].tolist())
+            if self.every:
+                out += self._each(a, stats)
+                continue
             for j, (n, v) in enumerate(stats):
                 if n >= self.least and (j + 1 == len(stats) or stats[j + 1][0] <= n):
                     e = self.sam.end[v]
@@ -125,19 +182,25 @@ class Matcher:
 def chain(found: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
     """Chains of one row's matches with one item each: in text order, forward in the item too, at most ``gap`` words apart.
 
-    (first word, end word, item's index, words of the item that are covered).
+    (first word, end word, item's index, words of the item that are covered). Of a match's places in the item, the one counts
+    that goes on from the chain most closely.
     """
     out: list[list[int]] = []
     last: dict[int, tuple[int, int]] = {}  # item: its open chain in out, item's end
+    places: dict[tuple[int, int, int], list[int]] = {}
     for a, n, k, p in sorted(found):
+        places.setdefault((a, n, k), []).append(p)
+    for (a, n, k), ps in places.items():
         if k in last:
             c, pe = last[k]
             s = out[c]
-            if a <= s[1] + gap and p + n > pe and p >= pe - n:
+            fit = [p for p in ps if p + n > pe and p >= pe - n] if a <= s[1] + gap else []
+            if fit:
+                p = next((p for p in fit if p >= pe - max(0, s[1] - a)), fit[-1])
                 s[3] += p + n - max(p, pe)
                 s[1] = max(s[1], a + n)
                 last[k] = (c, p + n)
                 continue
         out.append([a, a + n, k, n])
-        last[k] = (len(out) - 1, p + n)
+        last[k] = (len(out) - 1, ps[0] + n)
     return [tuple(s) for s in out]

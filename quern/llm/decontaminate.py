@@ -1,7 +1,7 @@
 """Operator 8, benchmark decontamination by a generalised suffix automaton of the normalised test items.
 
 Training words stream through the automaton; it gives the longest match that ends at each word. Matches of ``SEED`` words
-or more with one item are chained; a chain is a leak if one match has ``limit_words`` words, or if the chain covers
+or more with one item are chained, words that several items share counting for each of them; a chain is a leak if one match has ``limit_words`` words, or if the chain covers
 ``limit_coverage`` of the item (and at least ``SEED`` words). Leaks are cut out of the text.
 
 Benchmarks don't grow with the corpus; still, items of more than ``SHARD_WORDS`` words together are split over several
@@ -74,7 +74,11 @@ def leaks_of(m: Matcher, w, limit_words: int, limit_coverage: float, gap: int) -
 
 
 def _matcher(shard: list[tuple[int, str]]) -> Matcher:
-    return Matcher(shard, SEED)
+    once: dict[tuple, tuple[int, str]] = {}
+    toks = words(pa.array([t for _, t in shard], pa.string()))
+    for k, item in enumerate(shard):  # in order of item_id: the least is named
+        once.setdefault(tuple(toks.hash[toks.ptr[k] : toks.ptr[k + 1]].tolist()), item)
+    return Matcher(list(once.values()), SEED, every=True)
 
 
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit_words: int = LIMIT_WORDS, limit_coverage: float = LIMIT_COVERAGE, gap: int = GAP) -> DataFrame:

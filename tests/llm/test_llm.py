@@ -250,6 +250,26 @@ def test_op8_brute_force_and_odd_rows(spark, odd, none):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(odd, bench.limit(0)).count() == 0
 
 
+def test_op8_shared_phrases_count_for_each_item(spark):
+    stem, a, b = prose(8, 901), prose(10, 902), prose(10, 903).split()
+    items = [f"{stem} {a}", f"{stem} {' '.join(b)}"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    text = f"{prose(30, 904)} {stem} edited {' '.join(b[1:])} {prose(30, 905)}"
+    (row,) = decontaminate.find(table(spark, [text]), bench).collect()
+    assert (row["item_id"], row["n_words"]) == (1, 17)
+    rng = random.Random(12)
+    items = [" ".join(rng.choice("abcd") for _ in range(rng.randint(6, 25))) for _ in range(12)]
+    m = _automaton.Matcher(list(enumerate(items)), 5, every=True)
+    text = [rng.choice("abcd") for _ in range(300)]
+    w, want = words(pa.array([" ".join(text)])), set()
+    for k, item in enumerate(x.split() for x in items):
+        ends = [max(n for n in range(j + 2) if not n or any(item[p : p + n] == text[j + 1 - n : j + 1] for p in range(len(item)))) for j in range(len(text))]
+        for j, n in enumerate(ends):
+            if n >= 5 and (j + 1 == len(text) or ends[j + 1] <= n):
+                want |= {(j + 1 - n, n, k, p) for p in range(len(item)) if item[p : p + n] == text[j + 1 - n : j + 1]}
+    assert want and sorted(m.matches(w.hash, w.ptr)) == sorted(want)
+
+
 def nearest(feats, k, list_rows):
     """By brute force over all pairs: the k nearest of each node."""
     lists = defaultdict(list)
