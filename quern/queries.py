@@ -183,7 +183,7 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ci = statistics.paired_bootstrap(_pairs(spark, sf_dir), samples=1000)
+    ci = statistics.paired_bootstrap(_pairs(spark, sf_dir))
     return ci.withColumn("verdict", statistics.ci_verdict(*[F.col(c) for c in ("metric", "paired_queries", "ci95_low", "ci95_high")]))
 
 

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from compare import SF
 from pyspark.sql import functions as F
 
+from quern import queries
 from quern.functions import text as T
 from quern.functions.joins import keep_last
 from quern.operators import agent, answering, chunking, datasets, metrics, retrieval, statistics
@@ -78,6 +80,12 @@ def test_metrics_fixture(spark):
     assert metrics.at_cutoffs(df, [1, 2]).count() == 2
 
 
+def test_bootstrap_query_draws_the_default_resamples(spark):
+    row = queries.bootstrap_ci(spark, SF).first()
+    want = statistics.paired_bootstrap(queries._pairs(spark, SF), samples=10_000).first()
+    assert [row[c] for c in want.asDict()] == list(want)
+
+
 def test_bootstrap_is_the_seeded_generator(spark):
     a = spark.createDataFrame([(f"q{i}", i / 7) for i in range(9)], "question_id string, mrr double")
     b = spark.createDataFrame([(f"q{i}", i / 5) for i in range(9)], "question_id string, mrr double")
