@@ -7,8 +7,8 @@ or more with one item are chained, words that several items share counting for e
 Benchmarks don't grow with the corpus; still, items of more than ``SHARD_WORDS`` words together are split over several
 automata, each of which reads the corpus once, so that no executor holds an automaton without bound.
 
-Defined results: null and empty texts and items match nothing; items of fewer than ``SEED`` words match only
-whole; repeated rows and repeated items each count by themselves, an item text shared by several items naming the least
+Defined results: null and empty texts and items match nothing; items of fewer than ``SEED`` words match
+nothing, not even whole; repeated rows and repeated items each count by themselves, an item text shared by several items naming the least
 item_id; ``remove`` drops a document only if no word is left of it, and otherwise changes nothing but text and n_chars;
 an empty table on either side gives no leak.
 """
