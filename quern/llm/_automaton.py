@@ -2,59 +2,80 @@
 
 from __future__ import annotations
 
+from array import array
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 
-from quern.llm._words import words
+from quern.llm._words import rolling, words
+
+_NONE = -(1 << 31)
 
 
 class SuffixAutomaton:
-    """Automaton of all factors of several sequences, separated by symbols that no text has."""
+    """Automaton of all factors of several sequences, separated by symbols that no text has.
+
+    Most states have one transition, kept in two arrays; only a state's further ones take a dict.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len, self.end = [-1], [0], [-1]
+        self.symbol, self.to = array("i", [_NONE]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.len, self.end = array("i", [-1]), array("i", [0]), array("i", [-1])
         self._last, self._n = 0, 0
-        self._prefix: list[int] = []  # the states of whole prefixes, which aren't clones
+        self._prefix = array("i")  # the states of whole prefixes, which aren't clones
+
+    def go(self, v: int, symbol: int) -> int:
+        """The state after ``symbol``, -1: none."""
+        if self.symbol[v] == symbol:
+            return self.to[v]
+        return self.more[v].get(symbol, -1) if v in self.more else -1
+
+    def _set(self, v: int, symbol: int, to: int) -> None:
+        if self.symbol[v] in (_NONE, symbol):
+            self.symbol[v], self.to[v] = symbol, to
+        else:
+            self.more.setdefault(v, {})[symbol] = to
+
+    def _state(self, length: int, end: int) -> int:
+        for x, y in ((self.symbol, _NONE), (self.to, -1), (self.link, 0), (self.len, length), (self.end, end)):
+            x.append(y)
+        return len(self.len) - 1
 
     def add(self, symbol: int) -> None:
-        nxt, link, length = self.next, self.link, self.len
-        cur = len(nxt)
-        nxt.append({})
+        link, length = self.link, self.len
+        cur = self._state(length[self._last] + 1, self._n)
         self._prefix.append(cur)
-        link.append(0)
-        length.append(length[self._last] + 1)
-        self.end.append(self._n)
         self._n += 1
         p = self._last
-        while p >= 0 and symbol not in nxt[p]:
-            nxt[p][symbol] = cur
+        while p >= 0 and self.go(p, symbol) < 0:
+            self._set(p, symbol, cur)
             p = link[p]
         if p >= 0:
-            q = nxt[p][symbol]
+            q = self.go(p, symbol)
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                self.end.append(self.end[q])
-                while p >= 0 and nxt[p].get(symbol) == q:
-                    nxt[p][symbol] = clone
+                clone = self._state(length[p] + 1, self.end[q])
+                self.symbol[clone], self.to[clone], link[clone] = self.symbol[q], self.to[q], link[q]
+                if q in self.more:
+                    self.more[clone] = dict(self.more[q])
+                while p >= 0 and self.go(p, symbol) == q:
+                    self._set(p, symbol, clone)
                     p = link[p]
                 link[q] = link[cur] = clone
         self._last = cur
 
     def index(self) -> None:
         """After the last ``add``: the end positions of each state's factors, as a slice of ``ends`` (subtree of suffix links)."""
-        order = sorted(range(1, len(self.len)), key=self.len.__getitem__)
+        order = (np.argsort(np.frombuffer(self.len, np.int32)[1:], kind="stable") + 1).tolist()
         own = np.zeros(len(self.len), bool)
         own[self._prefix] = True
         size = own.astype(np.int64).tolist()
         for v in reversed(order):
             size[self.link[v]] += size[v]
-        self.first, self.ends = np.zeros(len(size), np.int64), np.zeros(len(self._prefix), np.int64)
+        self.first, self.ends = np.zeros(len(size), np.int32), np.zeros(len(self._prefix), np.int32)
         at = [0] * len(size)
         for v in order:
             up = self.link[v]
@@ -64,36 +85,36 @@ class SuffixAutomaton:
             if own[v]:
                 self.ends[start] = self.end[v]
                 at[v] += 1
-        self.count = np.asarray(size)
+        self.count = np.asarray(size, np.int32)
 
     def statistics(self, symbols: list[int]) -> list[tuple[int, int]]:
         """For each position, the longest match that ends there: (length, state)."""
-        nxt, link, length = self.next, self.link, self.len
+        go, link, length = self.go, self.link, self.len
         v = n = 0
         out = []
         for c in symbols:
-            while v and c not in nxt[v]:
+            to = go(v, c)
+            while v and to < 0:
                 v = link[v]
                 n = length[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
+                to = go(v, c)
+            if to >= 0:
+                v = to
                 n += 1
             out.append((n, v))
         return out
 
 
 class Matcher:
-    """Maximal matches, of at least ``least`` words, of texts with any of ``items`` [(item id, text)].
+    """Maximal matches, of at least ``least`` words, of texts with each of ``items`` [(item id, text)], at all of their places.
 
     Words outside the items' vocabulary and word pairs outside their pairs end every match, so only runs of known pairs
-    are streamed through the automaton; no match of ``least`` words or more is lost by that. Where a match occurs in
-    several items, the one added first is named; with ``every``, each item has the matches that are maximal for it, at all of
-    its places.
+    are streamed through the automaton; no match of ``least`` words or more is lost by that. Items shorter than that
+    aren't in the automaton: ``whole`` finds them.
     """
 
-    def __init__(self, items: list[tuple[int, str]], least: int, every: bool = False) -> None:
-        self.every, self._places = every, {}
-        self.least = max(2, least)
+    def __init__(self, items: list[tuple[Any, str]], least: int) -> None:
+        self.least, self._places = max(2, least), {}
         toks = words(pa.array([t for _, t in items], pa.string()))
         self.vocab = np.unique(toks.hash)
         ids = np.searchsorted(self.vocab, toks.hash)
@@ -105,17 +126,38 @@ class Matcher:
         self.sizes = np.diff(toks.ptr)
         self.ids = [i for i, _ in items]
         self.sam = SuffixAutomaton()
-        self.item_of, self.pos_of = [], []
-        for k in range(len(items)):
+        item_of, pos_of = array("i"), array("i")
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, self.least):
+            k = np.flatnonzero(self.sizes == n)
+            if len(k):
+                h = rolling(toks.hash, toks.ptr, n)
+                h = h[0][np.searchsorted(h[1], toks.ptr[k])]
+                order = np.argsort(h, kind="stable")
+                self.short[n] = h[order], k[order]
+        for k in np.flatnonzero(self.sizes >= self.least).tolist():
             for j, c in enumerate(ids[toks.ptr[k] : toks.ptr[k + 1]].tolist()):
                 self.sam.add(c)
-                self.item_of.append(k)
-                self.pos_of.append(j)
+                item_of.append(k)
+                pos_of.append(j)
             self.sam.add(-1 - k)
-            self.item_of.append(k)
-            self.pos_of.append(-1)
-        if every:
-            self.sam.index()
+            item_of.append(k)
+            pos_of.append(-1)
+        self.item_of, self.pos_of = item_of, pos_of
+        self.sam.index()
+
+    def whole(self, h: np.ndarray, ptr: np.ndarray, phrase: int) -> list[tuple[int, int, int]]:
+        """(first word, words, item's index) of each item of fewer than ``least`` words: within a text if it has ``phrase`` words or more, else as a whole text."""
+        out: list[tuple[int, int, int]] = []
+        for n, (known, items) in self.short.items():
+            g, at = rolling(h, ptr, n)
+            if n < phrase:
+                alone = np.isin(at, ptr[:-1][np.diff(ptr) == n])
+                g, at = g[alone], at[alone]
+            lo, hi = np.searchsorted(known, g), np.searchsorted(known, g, side="right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                out += [(int(at[i]), n, int(k)) for k in items[lo[i] : hi[i]]]
+        return out
 
     def places(self, v: int) -> dict[int, list[int]]:
         """Items in which the factors of state v occur, with the places where they end."""
@@ -169,13 +211,7 @@ class Matcher:
         long = hi - lo >= self.least
         for a, b in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
             stats = self.sam.statistics(ids[a:b].tolist())
-            if self.every:
-                out += self._each(a, stats)
-                continue
-            for j, (n, v) in enumerate(stats):
-                if n >= self.least and (j + 1 == len(stats) or stats[j + 1][0] <= n):
-                    e = self.sam.end[v]
-                    out.append((a + j + 1 - n, n, self.item_of[e], self.pos_of[e] + 1 - n))
+            out += self._each(a, stats)
         return out
 
 

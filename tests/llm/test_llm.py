@@ -259,7 +259,7 @@ def test_op8_shared_phrases_count_for_each_item(spark):
     assert (row["item_id"], row["n_words"]) == (1, 17)
     rng = random.Random(12)
     items = [" ".join(rng.choice("abcd") for _ in range(rng.randint(6, 25))) for _ in range(12)]
-    m = _automaton.Matcher(list(enumerate(items)), 5, every=True)
+    m = _automaton.Matcher(list(enumerate(items)), 5)
     text = [rng.choice("abcd") for _ in range(300)]
     w, want = words(pa.array([" ".join(text)])), set()
     for k, item in enumerate(x.split() for x in items):
