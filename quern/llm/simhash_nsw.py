@@ -1,45 +1,45 @@
 """Operator 10, near-duplicate removal: SimHash, small-world graphs over Hamming distance, verified edges unioned.
 
-A document's code is a 128-bit SimHash of its word pairs; beside it goes a bottom-``SKETCH`` sketch of the same pairs.
-Documents of equal code and sketch are one node. Nodes go to shards; each shard builds a navigable small-world graph,
+A document's code is a 128-bit SimHash of its word pairs; beside it go ``MINIMA`` minima of the same pairs, a byte each.
+Documents of equal code and minima are one node. Nodes go to shards; each shard builds a navigable small-world graph,
 in which every node is a query with an expanding beam (see ``_nsw``), and audits the recall of ``AUDIT`` of its queries
 against exact search: below ``AUDIT_RECALL`` the graph is built again with a doubled beam, in the end the shard is
-compared pair by pair. A pair within ``RADIUS`` bits becomes an edge if the sketches' Jaccard estimate (exact for
-documents of at most SKETCH distinct pairs) reaches ``JACCARD``. Edges are unioned within the shard, and the forests over all.
+compared pair by pair. A pair within ``RADIUS`` bits becomes an edge if its Jaccard index reaches ``JACCARD``. The share of equal minima settles
+that where it is ``UNSURE`` or more away from JACCARD (2.7 standard errors); the other pairs, unless their shard connects them anyway, are compared by their whole sets of word pairs.
+Edges are unioned within the shard, and the forests over all.
 
-Every query sent to every shard would be quadratic in the corpus. Here a query is sent to those shards that can
-hold its neighbours: a shard is a value of some sampled code bits, and each node is in one shard of each of ``bands`` samples.
-Bits and bands follow from the number of nodes so that shards keep about ``SHARD_NODES`` nodes and a pair at ``RADIUS``,
-the farthest that can be an edge, misses all common shards with a probability of at most 2 %. ``audit`` compares sampled nodes with all nodes.
+Every query sent to every shard would be quadratic in the corpus. Here a query goes to the shards that can
+hold its neighbours: in each of ``TREES`` trees nodes are sorted by ``DEPTH`` minima, and a shard is a run of at most ``SHARD_NODES`` of that order, ended where
+the minima agree least. So a shard holds all nodes that agree in as many minima as its size asks for (L), whatever the number of nodes, a pair at JACCARD misses
+all of them with a probability of (1 - JACCARD ** L) ** TREES: below 0.01 % at L = 1, 2 % at L = 2. Where more nodes than a shard holds agree in all minima, runs overlap by ``OVERLAP`` nodes.
+A node that shares its first minimum with no other has no neighbour in that tree. ``audit`` compares sampled nodes with all nodes.
 
 Defined results: null, empty and wordless texts are never near-duplicates; a single word is compared by itself; of a
 group the least doc_id stays (nulls last, then the least text hash); rows equal in id and text are copies of each other, one stays;
-very long texts count whole; an empty table gives no pairs; other columns are carried through ``deduplicate`` untouched.
+very long texts count whole; ids may be of any type; an empty table gives no pairs; other columns are carried through ``deduplicate`` untouched.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm._nsw import EXACT_BELOW, Graph, exact_pairs
+from quern.llm._nsw import EXACT_BELOW, Graph, exact_pairs, hamming
 from quern.llm._util import cut, fresh, hint_small, text_views, write_table
 from quern.llm._words import Words, mix, words
 
 RADIUS = 34
 JACCARD = 0.5
-SKETCH = 64
-SHARD_NODES = 16_384
-#: Part of the pairs at the radius that may share no shard.
-MISS = 0.02
+MINIMA, UNSURE = 128, 0.12
+TREES, DEPTH = 14, 4
+SHARD_NODES, OVERLAP = 8192, 64
 AUDIT, AUDIT_RECALL = 64, 0.95
-_PAD = 0xFFFFFFFF
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -75,35 +75,28 @@ def codes(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The SKETCH least distinct 32-bit feature hashes, padded."""
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    if len(x) > 4 * SKETCH:
-        least = np.unique(np.partition(x, 2 * SKETCH)[: 2 * SKETCH])
-        x = least if len(least) >= SKETCH else np.unique(x)
-    else:
-        x = np.unique(x)
-    x = x[x != _PAD][:SKETCH]
-    return np.concatenate([x, np.full(SKETCH - len(x), _PAD, np.uint32)])
+_SALT = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def minima(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """(rows, MINIMA) least 32-bit hashes, under as many hash functions, of the features h[ptr[i]:ptr[i+1]]; all rows have some."""
+    out = np.empty((len(ptr) - 1, MINIMA), np.uint32)
+    with np.errstate(over="ignore"):
+        for c in range(MINIMA):
+            out[:, c] = np.minimum.reduceat((h * _SALT[c]).view(np.uint32)[1::2], ptr[:-1])
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of sketches (pairs, SKETCH)."""
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both != _PAD
-    same = np.zeros_like(real)
-    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~same, axis=1)
-    use = rank <= SKETCH
-    union = np.minimum(rank[:, -1], SKETCH)
-    return (same & use).sum(axis=1) / np.maximum(union, 1)
+    """Jaccard estimates from the last bytes of minima (pairs, MINIMA), less what is equal by chance."""
+    return (np.count_nonzero(a == b, axis=1) / MINIMA - 1 / 256) / (1 - 1 / 256)
 
 
-SIGNED = "doc_id {0}, th bigint, h0 bigint, h1 bigint, sketch binary"
+SIGNED = "doc_id {0}, th bigint, h0 bigint, h1 bigint, sig binary, trees array<bigint>"
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, h0, h1, sketch) of each row with words; th is the text's hash."""
+    """(doc_id, th, h0, h1, sig, trees) of each row with words; th is the text's hash, trees the DEPTH minima of each tree, 16 bits each."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
@@ -114,22 +107,21 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 rows = np.flatnonzero(np.diff(ptr))
                 if not len(rows):
                     continue
-                code = codes(h, np.append(ptr[rows], ptr[-1])).view(np.int64)
-                sk = [sketch(h[ptr[r] : ptr[r + 1]]).tobytes() for r in rows]
+                own = np.append(ptr[rows], ptr[-1])
+                code = codes(h, own).view(np.int64)
+                least = minima(h, own)
+                sig = (least & np.uint32(0xFF)).astype(np.uint8)
+                parts = least[:, : TREES * DEPTH].astype(np.uint16).astype(np.uint64).reshape(-1, TREES, DEPTH)
+                key = parts[:, :, 0]
+                for d in range(1, DEPTH):
+                    key = (key << np.uint64(16)) | parts[:, :, d]
+                trees = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TREES), pa.array(key.ravel().view(np.int64)))
                 at = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), pa.array(sk, pa.binary())], ["doc_id", "th", "h0", "h1", "sketch"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), pa.array([x.tobytes() for x in sig], pa.binary()), trees], ["doc_id", "th", "h0", "h1", "sig", "trees"])
 
     return docs.mapInArrow(run, SIGNED.format(kind))
 
 
-def sampling(nodes: int, shard_nodes: int = SHARD_NODES, radius: int = RADIUS) -> tuple[int, int]:
-    """(bits, bands) for a number of nodes."""
-    bits = max(0, math.ceil(math.log2(max(1, nodes) / shard_nodes)))
-    if not bits:
-        return 0, 1
-    return bits, max(6, math.ceil(math.log(MISS) / math.log(1 - math.comb(128 - radius, bits) / math.comb(128, bits))))
-
-
 class _Union:
     def __init__(self, n: int) -> None:
         self.up = np.arange(n)
@@ -150,10 +142,11 @@ class _Union:
         return True
 
 
-def shard_edges(code: np.ndarray, sk: np.ndarray, radius: int, threshold: float, beam: int = 16) -> np.ndarray:
-    """Verified edges (m, 2), a forest over the shard's nodes, positions into ``code``."""
+def shard_edges(code: np.ndarray, sig: np.ndarray, radius: int, threshold: float, beam: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Positions into ``code`` (m, 2) of the edges, a forest over the shard's nodes; and of the pairs that minima don't settle and no edges connect."""
     n = len(code)
     forest: list[tuple[int, int]] = []
+    open_pairs: list[np.ndarray] = []
     union = _Union(n)
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
@@ -165,16 +158,25 @@ def shard_edges(code: np.ndarray, sk: np.ndarray, radius: int, threshold: float,
                 return
             now = np.zeros(len(i), bool)
             now[np.unique(i, return_index=True)[1]] = True  # one partner of each query at a time: the rest are often joined by then
-            good = jaccard(sk[i[now]], sk[j[now]]) >= threshold
+            like = jaccard(sig[i[now]], sig[j[now]])
+            good = like >= threshold + UNSURE
             for x, y in zip(i[now][good].tolist(), j[now][good].tolist(), strict=True):
                 if union.join(x, y):
                     forest.append((x, y))
+            unsure = ~good & (like > threshold - UNSURE)
+            if unsure.any():
+                open_pairs.append(np.stack([i[now][unsure], j[now][unsure]], axis=1))
             i, j = i[~now], j[~now]
 
+    def result() -> tuple[np.ndarray, np.ndarray]:
+        rest = np.concatenate([np.zeros((0, 2), np.int64), *open_pairs])
+        root = union.roots()
+        return np.asarray(forest, np.int64).reshape(-1, 2), np.unique(rest[root[rest[:, 0]] != root[rest[:, 1]]], axis=0)
+
     if n < EXACT_BELOW:
         for i, j in exact_pairs(code, radius):
             verify(i, j)
-        return np.asarray(forest, np.int64).reshape(-1, 2)
+        return result()
     audit = np.unique(np.linspace(n // 2, n - 1, AUDIT).astype(np.int64))
     truth = [np.concatenate(x) for x in zip(*exact_pairs(code, radius, audit), strict=True)]
     truth = np.unique(truth[0] * n + truth[1])
@@ -193,48 +195,58 @@ def shard_edges(code: np.ndarray, sk: np.ndarray, radius: int, threshold: float,
             for i, j in exact_pairs(code, radius):
                 verify(i, j)
             break
-    return np.asarray(forest, np.int64).reshape(-1, 2)
-
-
-def _shards(bits: int, bands: int) -> Column:
-    """A node's shards, one of each band."""
-    take = [np.random.default_rng(1000 + b).choice(128, bits, replace=False) for b in range(bands)]
-    keys = []
-    for b, at in enumerate(take):
-        key = F.lit(b).cast("bigint")
-        for p in at.tolist():
-            key = key * 2 + F.getbit("h0" if p < 64 else "h1", F.lit(p % 64)).cast("bigint")
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _sharded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
-    """Each node once in a shard of each band."""
-    return nodes.select("node", "h0", "h1", "sketch", F.explode(_shards(bits, bands)).alias("shard"))
-
-
-def audit(nodes: DataFrame, count: int, radius: int = RADIUS, shard_nodes: int = SHARD_NODES, sample: int = AUDIT) -> DataFrame:
-    """(distance, pairs, met): pairs of about ``sample`` nodes with any of all nodes, by exact search, and those of them that share a shard."""
-    keyed = nodes.select("node", "h0", "h1", _shards(*sampling(count, shard_nodes, radius)).alias("shards"))
-    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(max(1, count // sample))) == 0).select(*[F.col(c).alias(f"q_{c}") for c in keyed.columns])
-    distance = F.bit_count(F.col("h0").bitwiseXOR(F.col("q_h0"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("q_h1")))
-    pairs = keyed.crossJoin(F.broadcast(some)).withColumn("distance", distance).where((F.col("node") != F.col("q_node")) & (F.col("distance") <= radius))
-    return pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.arrays_overlap("shards", "q_shards")).alias("met"))
-
-
-def edges(nodes: DataFrame, count: int, radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """Verified edges (a, b) of the nodes (node, h0, h1, sketch)."""
+    return result()
+
+
+def shard_ends(tree: np.ndarray, key: np.ndarray, most: int, last: bool) -> tuple[list[tuple[int, int]], int]:
+    """(begin, end) of the shards of rows sorted by tree and key, and where the next one begins; it waits for more rows, unless these are the last."""
+    n = len(key)
+    same = key[1:] ^ key[:-1]
+    agree = np.zeros(n, np.int64)  # minima that a row has in common with the one before
+    agree[1:] = np.where(tree[1:] != tree[:-1], -1, sum((same >> np.uint64(16 * (DEPTH - d)) == 0).astype(np.int64) for d in range(1, DEPTH)) + (same == 0))
+    out, begin = [], 0
+    while n - begin > most:
+        lo = begin + most // 2
+        part = agree[lo : begin + most + 1]
+        end = lo + len(part) - 1 - int(part[::-1].argmin())
+        out.append((begin, end))
+        begin = end if agree[end] < DEPTH else end - min(OVERLAP, most // 4)
+    if last and n > begin:
+        out.append((begin, n))
+        begin = n
+    return out, begin
+
+
+def edges(nodes: DataFrame, radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
+    """(a, b, sure): verified edges of the nodes (node, h0, h1, sig, trees), and pairs that are still to be compared."""
+
+    def search(tree: np.ndarray, key: np.ndarray, node: np.ndarray, code: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One shard."""
+        first = (tree.astype(np.uint64) << np.uint64(16)) | (key >> np.uint64(16 * (DEPTH - 1)))
+        met = np.zeros(len(first), bool)
+        met[1:] = first[1:] == first[:-1]
+        met[:-1] |= met[1:]
+        own = np.flatnonzero(met)
+        own = own[np.argsort(node[own], kind="stable")]  # in order of hash, so that early links reach far
+        if len(own):
+            for e, sure in zip(shard_edges(code[own], sig[own], radius, threshold), (True, False), strict=True):
+                if len(e):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own][e[:, 0]]), pa.array(node[own][e[:, 1]]), pa.array(np.full(len(e), sure))], ["a", "b", "sure"])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("node")
-        code = np.stack([t["h0"].to_numpy(), t["h1"].to_numpy()], axis=1).view(np.uint64)
-        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
-        e = shard_edges(code, sk, radius, threshold)
-        ids = t["node"].to_numpy()
-        return pa.table({"a": ids[e[:, 0]], "b": ids[e[:, 1]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, MINIMA), np.uint8)]
+        for b in itertools.chain(batches, [None]):
+            if b is not None and b.num_rows:
+                new = [b["tree"].to_numpy(), b["key"].to_numpy().view(np.uint64), b["node"].to_numpy(), np.stack([b["h0"].to_numpy(), b["h1"].to_numpy()], axis=1).view(np.uint64), np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, MINIMA)]
+                rows = [np.concatenate(x) for x in zip(rows, new, strict=True)]
+            ends, at = shard_ends(rows[0], rows[1], shard_nodes, b is None)
+            for begin, end in ends:
+                yield from search(*(x[begin:end] for x in rows))
+            rows = [x[at:] for x in rows]
 
-    bits, bands = sampling(count, shard_nodes, radius)
-    return _sharded(nodes, bits, bands).groupBy("shard").applyInArrow(run, "a bigint, b bigint")
+    kept = nodes.select("node", "h0", "h1", "sig", F.posexplode("trees").alias("tree", "key"))
+    order = ["tree", "key", "node"]
+    return kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint, sure boolean")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -255,12 +267,77 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: float = JACCARD) -> DataFrame:
+    """Those of the pairs (a, b, ta, tb), whose texts have the hashes ta and tb, that reach the threshold by their whole sets of word pairs."""
+    wanted = pairs.select(F.col("ta").alias("th")).unionByName(pairs.select(F.col("tb").alias("th"))).distinct()
+    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(hint_small(wanted), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, view in text_views(b["text"]):
+                h, ptr = features(words(view))
+                own = [np.unique(h[x:y]).tobytes() for x, y in zip(ptr[:-1], ptr[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b["th"].slice(first, len(view)), pa.array(own, pa.binary())], ["th", "pairs"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b["x"], b["y"], strict=True):
+                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= threshold * (len(u) + len(v) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = write_table(texts.mapInArrow(sets, "th bigint, pairs binary"), "simhash-sets")
+    rows = pairs.join(known.select(F.col("th").alias("ta"), F.col("pairs").alias("x")), "ta").join(known.select(F.col("th").alias("tb"), F.col("pairs").alias("y")), "tb")
+    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def links(signed: DataFrame, docs: DataFrame, text: str = "text", radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
+    """(node, root) of the nodes that have a near-duplicate; root is the least node of its group."""
+    nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("h0", "h1", "sig", "trees")])
+    found = write_table(edges(nodes, radius, threshold, shard_nodes), "simhash-edges")
+    sure = found.where("sure").select("a", "b")
+    unsure = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if unsure.isEmpty():
+        return components(sure)
+    texts = signed.groupBy("node").agg(F.min("th").alias("th"))
+    for c in ("a", "b"):
+        unsure = unsure.join(texts.select(F.col("node").alias(c), F.col("th").alias(f"t{c}")), c)
+    return components(sure.unionByName(confirmed(write_table(unsure, "simhash-unsure"), docs, text, threshold)))
+
+
+def audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = AUDIT, radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
+    """(distance, pairs, met): pairs of about ``sample`` nodes with any of all nodes that are edges by exact search over codes and minima, and those of them that are in one group."""
+    signed = write_table(signatures(docs, doc_id, text).withColumn("node", F.xxhash64("h0", "h1", "sig")), "simhash")
+    root = links(signed, docs, text, radius, threshold, shard_nodes)
+    nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("h0", "h1", "sig")]).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = write_table(nodes, "simhash-audit")
+    some = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).toArrow().combine_chunks()  # a bounded sample
+    q = [some[c].to_numpy() for c in ("node", "root")]
+    codes_ = np.stack([some["h0"].to_numpy(), some["h1"].to_numpy()], axis=1).view(np.uint64)
+    sigs = np.frombuffer(b"".join(some["sig"].to_pylist()), np.uint8).reshape(-1, MINIMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.stack([b["h0"].to_numpy(), b["h1"].to_numpy()], axis=1).view(np.uint64)
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, MINIMA)
+            d = hamming(code[:, None], codes_[None])
+            i, j = np.nonzero((d <= radius) & (b["node"].to_numpy()[:, None] != q[0][None]))
+            good = jaccard(sig[i], sigs[j]) >= threshold
+            i, j = i[good], j[good]
+            yield pa.RecordBatch.from_arrays([pa.array(d[i, j]), pa.array((b["root"].to_numpy()[i] == q[1][j]).astype(np.int64))], ["distance", "met"])
+
+    pairs = nodes.mapInArrow(run, "distance bigint, met bigint")
+    return pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("pairs"), F.sum("met").alias("met"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(doc_id, th, grp, keep_id, keep_th, rn) of all rows with words; rn 1 is the one of its group that stays."""
-    signed = write_table(signatures(docs, doc_id, text).withColumn("node", F.xxhash64("h0", "h1", "sketch")), "simhash")
-    nodes = signed.groupBy("node").agg(F.first("h0").alias("h0"), F.first("h1").alias("h1"), F.first("sketch").alias("sketch"))
-    count = signed.select("node").distinct().count()
-    found = components(edges(nodes, count, radius, threshold, shard_nodes))
+    signed = write_table(signatures(docs, doc_id, text).withColumn("node", F.xxhash64("h0", "h1", "sig")), "simhash")
+    found = links(signed, docs, text, radius, threshold, shard_nodes)
     w = Window.partitionBy("grp")
     order = [F.col("doc_id").asc_nulls_last(), F.col("th")]
     return (

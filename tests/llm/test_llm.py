@@ -362,7 +362,7 @@ def similar(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if _nsw.hamming(code[i], code[j]) <= simhash_nsw.RADIUS and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]):
+            if _nsw.hamming(code[i], code[j]) <= simhash_nsw.RADIUS and len(sets[i] & sets[j]) >= simhash_nsw.JACCARD * len(sets[i] | sets[j]):
                 a, b = sorted((up(i), up(j)))
                 root[b] = a
     return [up(i) for i in range(len(texts))]
@@ -370,31 +370,49 @@ def similar(texts):
 
 def test_op10_groups_and_odd_rows(spark, odd, none):
     texts = [prose(120, i) for i in range(100)]
-    for i in range(60):
-        t = texts[i % 20].split()
-        t[random.Random(i).randrange(120)] = "changed"
+    for i in range(80):
+        t, rng = texts[i % 40].split(), random.Random(i)
+        for at in rng.sample(range(120), rng.choice((1, 10, 20, 22, 24, 30))):  # up to and beyond the threshold
+            t[at] = f"changed{i}"
         texts.append(" ".join(t))
-    rows = {r["doc_id"]: r["dup_of"] for r in simhash_nsw.duplicates(table(spark, texts)).collect()}
+    docs = table(spark, texts)
+    rows = {r["doc_id"]: r["dup_of"] for r in simhash_nsw.duplicates(docs).collect()}
     want = similar(texts)
     assert {i: g for i, g in enumerate(want) if i != g} == rows
-    many = {r["doc_id"] for r in simhash_nsw.duplicates(table(spark, texts), shard_nodes=40).collect()}
-    assert len(many & set(rows)) >= 0.9 * len(rows) and many <= set(rows)
+    many = {r["doc_id"]: r["dup_of"] for r in simhash_nsw.duplicates(docs, shard_nodes=40).collect()}
+    assert len(many.keys() & rows.keys()) >= 0.95 * len(rows) and many.keys() <= rows.keys()
     left = simhash_nsw.deduplicate(odd)
     assert left.columns == odd.columns and left.count() == 6 and left.where("doc_id = 3").count() == 1
     assert simhash_nsw.duplicates(none).count() == 0 and simhash_nsw.deduplicate(none).count() == 0
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("node"), F.lit(2).alias("th"))
+    assert simhash_nsw.duplicates(named).count() == len(rows) and simhash_nsw.deduplicate(named).columns == named.columns
 
 
-def test_op10_pairs_at_the_radius_meet(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(1000):
-        code = int.from_bytes(rng.bytes(16), "little")
-        flip = sum(1 << int(p) for p in rng.choice(128, simhash_nsw.RADIUS, replace=False))
-        for c in (code, code ^ flip):
-            rows.append((len(rows), *np.array([c & (1 << 64) - 1, c >> 64], np.uint64).view(np.int64).tolist()))
-    nodes = spark.createDataFrame(rows, "node bigint, h0 bigint, h1 bigint")
-    far = simhash_nsw.audit(nodes, len(rows), shard_nodes=40, sample=len(rows)).where(F.col("distance") == simhash_nsw.RADIUS).first()
-    assert far["pairs"] >= len(rows) and far["met"] >= 0.95 * far["pairs"]
+def test_op10_hot_family_and_audit(spark):
+    rng = random.Random(3)
+    base = prose(150, 7).split()
+    texts = [prose(100, 900 + i) for i in range(30)]
+    for i in range(400):  # nine rows of ten are of one family, over many shards
+        t = list(base)
+        for at in rng.sample(range(150), 12):
+            t[at] = f"own{i}x{at}"
+        texts.append(" ".join(t))
+    docs = table(spark, texts)
+    assert simhash_nsw.duplicates(docs, shard_nodes=50).count() == 399
+    (row,) = simhash_nsw.audit(docs, sample=64, shard_nodes=50).agg(F.sum("pairs").alias("p"), F.sum("met").alias("m")).collect()
+    assert row["p"] > 10_000 and row["m"] >= 0.99 * row["p"]
+
+
+def test_op10_shards_end_where_minima_agree_least():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(48) | rng.integers(0, 3, 3000).astype(np.uint64))
+    tree = np.zeros(3000, np.int32)
+    ends, at = simhash_nsw.shard_ends(tree, key, 200, True)
+    assert at == 3000 and max(e - b for b, e in ends) <= 200 and ends[0][0] == 0 and ends[-1][1] == 3000
+    assert all(b2 <= e1 for (_, e1), (b2, _) in zip(ends, ends[1:], strict=False))
+    assert all(key[e - 1] >> np.uint64(48) != key[e] >> np.uint64(48) for _, e in ends[:-1])
+    ends, at = simhash_nsw.shard_ends(tree, np.zeros(3000, np.uint64), 200, False)
+    assert at < 3000 and all(b2 == e1 - 50 for (_, e1), (b2, _) in zip(ends, ends[1:], strict=False))
 
 
 def test_op10_graph_recall():
