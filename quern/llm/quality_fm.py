@@ -2,20 +2,22 @@
 
 Two machines share one pass, one for quality and one for toxicity; a document is kept if it is likely good and not
 likely toxic. A machine scores ``b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``: all pairwise interactions of low
-rank, in time linear in the number of features. Words and their first ``STEM`` bytes count by presence; those that fewer than ``LEAST_DOCS``
-rows of the sample have, or whose share of good or toxic rows is within ``DEVIATION`` standard errors of the sample's, are left out. For quality they are scaled to length 1, for toxicity not, so that a few telling
+rank, in time linear in the number of features. Words and their first ``STEM`` bytes count by presence, all that two rows of the sample have. A word's value
+is scaled by how far the share of good or toxic rows with it is from the sample's, in standard errors z: ``z^4 / (z^4 + SOFT^4)``, but ``FLOOR`` at least. So no word is left out, and one that tells little
+by itself still counts, little, and by its interactions. For quality values are scaled to length 1, for toxicity not, so that a few telling
 words weigh as much in a long text. Statistics cover the whole text.
 
 Fitting uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of doc_id, so the sample is the same in every
-run; their features are computed by the executors. Scoring covers every row.
+run; the executors compute their features, and one task, whose input that bound holds small, fits both machines. Scoring covers every row.
 
 Defined results: a null, empty or wordless text gets null scores and isn't kept; null labels and labels of unknown documents
-aren't used; a document labelled twice counts twice; without usable labels all probabilities are one half, and everything with words is
-kept; null lang and source are values of their own; repeated rows each get a row; an empty table gives no rows.
+aren't used; a document labelled twice counts twice; without usable labels quality is one half and toxicity 0.12 throughout, and everything with words is
+kept; null lang and source are values of their own, as are missing columns; very long texts count whole; other columns, whatever their names, pass through ``keep``; repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,9 +33,9 @@ from quern.llm._words import Words, words
 #: Labelled rows at most that the machines are fitted on.
 TRAIN_ROWS = 12_000
 BUCKETS, META, RANK, EPOCHS = 1 << 20, 64, 4, 8
-#: Rows of the sample that a word is in at least; its value for toxicity; bytes of a stem.
-LEAST_DOCS, PRESENT, STEM, DEVIATION = 5, 0.3, 5, 4.5
-QUALITY_AT, TOXIC_AT = 0.5, 0.5
+#: Rows of the sample that a word is in at least; its value for toxicity; bytes of a stem; standard errors at which a word's value is halved; least scale of a value.
+LEAST_DOCS, PRESENT, STEM, SOFT, FLOOR = 2, 0.3, 5, 4.0, 0.02
+QUALITY_AT, TOXIC_AT = 0.5, 0.4
 STATS = 12
 #: Features besides words: metadata and statistics.
 EXTRA = 2 * META + STATS
@@ -123,27 +125,31 @@ class Machines(NamedTuple):
         return self.b + lin + 0.5 * (s * s - q).sum(axis=2)
 
 
-def telling(seen: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(BUCKETS, 2): words that enough rows have, and whose share of good, of toxic rows differs from the sample's by DEVIATION standard errors.
+def scales(seen: np.ndarray, labelled: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(words, 2): scale of each word's value, for quality and for toxicity.
 
-    seen: rows that have each bucket; labelled (BUCKETS, 2): those of them that are good, toxic.
+    seen: rows that have each word; labelled (words, 2): those of them that are good, toxic; y (2): shares of good and toxic rows.
     """
-    p = y.mean(axis=0)
-    use = np.abs(labelled - seen[:, None] * p) > DEVIATION * np.sqrt(seen[:, None] * np.maximum(p * (1 - p), 1e-4))
-    return use & (seen >= LEAST_DOCS)[:, None]
+    z = (labelled - seen[:, None] * y) ** 2 / np.maximum(seen[:, None] * np.maximum(y * (1 - y), 1e-4), 1e-9)
+    return (FLOOR + (1 - FLOOR) * z * z / (z * z + SOFT**4)).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarray, use: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
-    """AdaGrad on logistic loss. rows: (feature, value) of each document, words by their slot; y (rows, 2): good, toxic.
+def _sums(values: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    """Sums of values by their place inv, of which none is missing."""
+    order = np.argsort(inv, kind="stable")
+    return np.add.reduceat(values[order], np.searchsorted(inv[order], np.arange(int(inv[order[-1]]) + 1)), axis=0)
 
-    A machine's weights and factors stay 0 for words that tell nothing of what it scores.
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarray, scale: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machines:
+    """AdaGrad on logistic loss. rows: (feature, value) of each document, words by their slot; y (rows, 2): good, toxic; scale (words, 2).
+
+    The machines' weights and factors include the scales, so scoring takes plain values.
     """
     many = int(slot.max()) + 1
+    scale = np.concatenate([scale, np.ones((EXTRA, 2), np.float32)])
     if not len(rows):
-        return Machines(np.zeros(2, np.float32), np.zeros((EXTRA, 2), np.float32), np.zeros((EXTRA, 2, RANK), np.float32), slot.astype(np.int32))
-    mask = np.ones((many + EXTRA, 2), np.float32)
-    mask[slot[slot >= 0]] = use[slot >= 0]
-    v = np.random.default_rng(seed).normal(0, 0.02, (many + EXTRA, 2, RANK)).astype(np.float32) * mask[:, :, None]
+        return Machines(np.array([0, -2], np.float32), np.zeros((many + EXTRA, 2), np.float32), np.zeros((many + EXTRA, 2, RANK), np.float32), slot.astype(np.int32))
+    v = np.random.default_rng(seed).normal(0, 0.02, (many + EXTRA, 2, RANK)).astype(np.float32)
     m = Machines(np.zeros(2, np.float32), np.zeros((many + EXTRA, 2), np.float32), v, slot.astype(np.int32))
     m.b[:] = np.log((y.mean(axis=0) + 0.01) / (1.01 - y.mean(axis=0)))
     gw, gv, gb = np.full_like(m.w, 1e-3), np.full_like(m.v, 1e-3), np.full(2, 1e-3)
@@ -154,7 +160,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarr
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             part = order[at : at + 64]
-            idx, x = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+            idx = np.concatenate([rows[i][0] for i in part])
+            x = np.concatenate([rows[i][1] for i in part]) * scale[idx]
             size = np.array([len(rows[i][0]) for i in part])
             first = np.cumsum(size) - size
             row = np.repeat(np.arange(len(part)), size)
@@ -163,11 +170,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarr
             z = m.b + np.add.reduceat(m.w[idx] * x, first, axis=0) + 0.5 * (s * s - np.add.reduceat(vx * vx, first, axis=0)).sum(axis=2)
             g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part]).astype(np.float32)
             u, inv = np.unique(idx, return_inverse=True)
-            dw, dv = np.zeros((len(u), 2), np.float32), np.zeros((len(u), 2, RANK), np.float32)
-            np.add.at(dw, inv, g[row] * x)
-            np.add.at(dv, inv, g[row][:, :, None] * x[:, :, None] * (s[row] - vx))
-            dw = (dw + decay * m.w[u]) * mask[u]
-            dv = (dv + decay * m.v[u]) * mask[u][:, :, None]
+            dw = _sums(g[row] * x, inv) + decay * m.w[u]
+            dv = _sums(g[row][:, :, None] * x[:, :, None] * (s[row] - vx), inv) + decay * m.v[u]
             gw[u] += dw * dw
             gv[u] += dv * dv
             m.w[u] -= rate * dw / np.sqrt(gw[u])
@@ -175,6 +179,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, slot: np.ndarr
             db = g.sum(axis=0)
             gb += db * db
             m.b[:] -= rate * db / np.sqrt(gb)
+    m.w[:] *= scale
+    m.v[:] *= scale[:, :, None]
     return m
 
 
@@ -187,8 +193,11 @@ def _inputs(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), get(lang).alias("lang"), get(source).alias("source"))
 
 
+SAMPLE = pa.schema([("key", pa.int64()), ("idx", pa.list_(pa.int32())), ("x", pa.list_(pa.float32())), ("z", pa.list_(pa.float32())), ("quality", pa.int32()), ("toxic", pa.int32())])
+
+
 def _features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
-    """(doc_id, idx, x, z, quality, toxic) of the rows that have words."""
+    """(key, idx, x, z, quality, toxic) of the rows that have words; key is a hash of the row."""
     shared = rows.sparkSession.sparkContext.broadcast(slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +207,10 @@ def _features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
                 idx, x, ptr = vectors(w, _meta(b, first, len(view)), shared.value)
                 lists = lambda v, t, p=ptr: pa.ListArray.from_arrays(pa.array(p.astype(np.int32)), pa.array(v.astype(t)))
                 cut = [b[c].slice(first, len(view)).cast(pa.int32()) for c in ("quality", "toxic")]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(first, len(view)), lists(idx, np.int32), lists(x[:, 0], np.float32), lists(x[:, 1], np.float32), *cut], ["doc_id", "idx", "x", "z", "quality", "toxic"]).filter(pa.array(np.diff(w.ptr) > 0))
+                yield pa.RecordBatch.from_arrays([b["key"].slice(first, len(view)), lists(idx, np.int32), lists(x[:, 0], np.float32), lists(x[:, 1], np.float32), *cut], SAMPLE.names).filter(pa.array(np.diff(w.ptr) > 0))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, idx array<int>, x array<float>, z array<float>, quality int, toxic int")
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text", "lang", "source"))
+    return keyed.mapInArrow(run, "key bigint, idx array<int>, x array<float>, z array<float>, quality int, toxic int")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -224,30 +233,37 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rows: int = TRAIN_ROWS) -> Machines:
-    """Machines fitted on a bounded sample of ``labels`` (doc_id, quality, toxic); the driver gets the telling words of its rows only."""
+    """Machines fitted on a bounded sample of ``labels`` (doc_id, quality, toxic)."""
     labels = labels.where("doc_id is not null and quality is not null and toxic is not null")
     sample = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(rows)
     joined = _inputs(docs, doc_id, text, lang, source).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most ``rows`` rows
     joined = write_table(joined.select("doc_id", "text", "lang", "source", "quality", "toxic").where("text is not null"), "quality-sample")
     y = joined.agg(F.count(F.lit(1)), F.avg((F.col("quality") == 1).cast("int")), F.avg((F.col("toxic") == 1).cast("int"))).first()
-    slot, use = np.full(BUCKETS, -1, np.int32), np.zeros((BUCKETS, 2), bool)
-    if y[0]:
-        found = _buckets(joined).where(F.col("n") >= LEAST_DOCS).toArrow()
-        seen, labelled = np.zeros(BUCKETS), np.zeros((BUCKETS, 2))
-        at = found["bucket"].to_numpy()
-        seen[at] = found["n"].to_numpy()
-        labelled[at, 0], labelled[at, 1] = found["good"].to_numpy(), found["toxic"].to_numpy()
-        use = telling(seen, labelled, np.array([y[1:]], np.float64))
-        slot[use.any(axis=1)] = np.arange(use.any(axis=1).sum())
-    got = _features(joined, slot).toArrow().combine_chunks()
-    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
-    data = []
-    for c in ("idx", "x", "z"):
-        col = got[c].combine_chunks()
-        offs, values = np.asarray(col.offsets), np.asarray(col.values)
-        data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
-    y = np.stack([np.asarray(got["quality"]) == 1, np.asarray(got["toxic"]) == 1], axis=1).astype(np.float32).reshape(-1, 2)
-    return fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, slot, use)
+    slot, scale = np.full(BUCKETS, -1, np.int32), np.zeros((0, 2), np.float32)
+    if not y[0]:
+        return fit([], np.zeros((0, 2)), slot, scale)
+    found = _buckets(joined).where(F.col("n") >= LEAST_DOCS).toArrow()  # words of a bounded sample
+    at = np.sort(found["bucket"].to_numpy())
+    order = np.argsort(found["bucket"].to_numpy())
+    seen, labelled = found["n"].to_numpy()[order], np.stack([found["good"].to_numpy(), found["toxic"].to_numpy()], axis=1)[order]
+    slot[at] = np.arange(len(at))
+    scale = scales(seen, labelled, np.array(y[1:], np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast((slot, scale))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), SAMPLE)
+        t = t.combine_chunks().sort_by([("key", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
+        data = []
+        for c in ("idx", "x", "z"):
+            col = t[c].combine_chunks()
+            offs, values = np.asarray(col.offsets), np.asarray(col.values)
+            data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
+        y = np.stack([np.asarray(t["quality"]) == 1, np.asarray(t["toxic"]) == 1], axis=1).astype(np.float32).reshape(-1, 2)
+        m = fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, *shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(m)[:3])], pa.binary())], ["model"])
+
+    got = _features(joined, slot).repartition(1).mapInArrow(learn, "model binary").first()
+    return Machines(*pickle.loads(got[0]), slot)
 
 
 def _probabilities(m: Machines, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -186,6 +186,34 @@ def test_op5_sum_of_squares_identity():
         assert m.scores(idx, x, np.array([0, 6]))[0, h] == pytest.approx(m.w[:, h] @ x[:, h] + pairs)
 
 
+def test_op5_interactions_of_words_that_tell_nothing_alone():
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(600):
+        a, b = rng.integers(0, 2, 2)  # good if just one of two words is there
+        idx = np.array([0] * a + [1] * b + [2 + int(rng.integers(0, 20))] + [22 + quality_fm.EXTRA - 1])
+        rows.append((idx, np.ones((len(idx), 2), np.float32)))
+        y.append((a ^ b, 0))
+    y = np.array(y, np.float32)
+    scale = np.ones((22, 2), np.float32)
+    m = quality_fm.fit(rows[:500], y[:500], np.arange(22), scale, epochs=60)
+    z = np.array([m.scores(i, x, np.array([0, len(i)]))[0, 0] for i, x in rows[500:]])
+    assert ((z > 0) == (y[500:, 0] == 1)).mean() > 0.95
+
+
+def test_op5_ids_columns_and_reading(spark):
+    texts, labels = labelled(90, 1)
+    named = table(spark, texts).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "KEY", F.lit(1).alias("quality"), F.lit("x").alias("model"))
+    m = quality_fm.train(named, spark.createDataFrame([(str(i), q, t) for i, q, t in labels], "doc_id string, quality int, toxic int"))
+    assert quality_fm.keep(named, m).columns == named.columns
+    both = quality_fm.score(named, m).collect()
+    long = quality_fm.score(table(spark, [texts[1] + " " + prose(200_000, 3)]), m).first()
+    assert len(both) == 90 and long["quality"] is not None
+    idx, x, ptr = quality_fm.vectors(words(pa.array(texts)), [(None, None)] * 90, m.slot)  # by brute force, without Spark
+    z = m.scores(idx, x, ptr)
+    assert [r["quality"] for r in sorted(both, key=lambda r: int(r["doc_id"]))] == pytest.approx((1 / (1 + np.exp(-z[:, 0]))).tolist())
+
+
 def test_op6_round_trip_and_lookup(spark, odd, none, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     orc_tokens.write(docs, path := str(tmp_path / "t"), stripe_bytes=1 << 16)
