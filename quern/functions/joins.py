@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A side with at most so many rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A side with at most so many rows, and bytes of text, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+
+
+def fits(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and ``most_bytes`` bytes in its string and binary columns; counting stops at ``most``."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(sum(texts, F.lit(0)).cast("bigint"))
+    n, total = df.limit(most + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= most and (total or 0) <= most_bytes
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else Spark joins by shuffle. Counting stops at ``most``."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it ``fits``; else Spark joins by shuffle. ``df`` is computed for that, so it should be cheap or stored."""
+    return F.broadcast(df) if fits(df, most) else df
+
+
+def hinted(df: DataFrame, like: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which has no more rows than ``like``, marked for broadcast if that fits."""
+    return F.broadcast(df) if fits(like, most) else df
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

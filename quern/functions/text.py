@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,14 +25,21 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(~text.rlike(r"^[\x00-\x{2FF}]*$"), text)), text)
 
 
+#: What counts as white space at the ends of a text.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _composed(text: Column, compose: bool) -> Column:
+    return F.replace(nfc(text) if compose else text, F.lit("\ufeff"), F.lit(""))
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
-    """TXT1. compose=False leaves out canonical composition, for text known to be composed."""
-    t = nfc(text) if compose else text
-    t = F.regexp_replace(F.regexp_replace(t, "﻿", ""), r"[ \t]+", " ")
+    """TXT1. compose=False leaves out canonical composition, for text known to be composed. Single blanks, the most, aren't rewritten."""
+    t = F.regexp_replace(_composed(text, compose), r"[ \t]*\t[ \t]*| {2,}", " ")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -43,13 +50,29 @@ def tidy_punctuation(text: Column, compose: bool = True) -> Column:
 
 
 def tokens(text: Column, compose: bool = True) -> Column:
-    """TXT2: lower-cased words in order, with repeats."""
-    return F.transform(F.regexp_extract_all(normalize_text(text, compose), F.lit(WORD), F.lit(0)), F.lower)
+    """TXT2: lower-cased words in order, with repeats. White space ends a word whatever its form, so it needn't be normalised first."""
+    return F.transform(F.regexp_extract_all(_composed(text, compose), F.lit(WORD), F.lit(0)), F.lower)
 
 
 def token_count(text: Column, compose: bool = True) -> Column:
     """TXT3."""
-    return F.size(F.regexp_extract_all(normalize_text(text, compose), F.lit(WORD), F.lit(0)))
+    return F.regexp_count(_composed(text, compose), F.lit(WORD))
+
+
+def term_vectors(rows: DataFrame, by: str, text: str = "text", compose: bool = True, digits: int | None = None) -> DataFrame:
+    """TXT4: (by, term, weight): each term's share of a text's words."""
+    toks = rows.select(by, tokens(F.col(text), compose).alias("_t")).select(by, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
+    weight = F.count(F.lit(1)) / F.col("_n")
+    return toks.groupBy(by, "term", "_n").agg((weight if digits is None else F.round(weight, digits)).alias("weight")).drop("_n")
+
+
+def sparse_cosine(a: DataFrame, b: DataFrame, left: str, right: str, digits: int | None = None) -> DataFrame:
+    """TXT5: (left, right, cosine) of the pairs of term vectors (id, term, weight) that share a term; of all others it is 0."""
+    norm = lambda v, i, n: v.groupBy(i).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(n))
+    dot = a.withColumnRenamed("weight", "_a").join(b.withColumnRenamed("weight", "_b"), "term").groupBy(left, right).agg(F.sum(F.col("_a") * F.col("_b")).alias("_d"))
+    rows = dot.join(norm(a, left, "_x"), left).join(norm(b, right, "_y"), right)
+    cosine = F.coalesce(F.try_divide(F.col("_d"), F.col("_x") * F.col("_y")), F.lit(0.0))
+    return rows.select(left, right, (cosine if digits is None else F.round(cosine, digits)).alias("cosine"))
 
 
 def best_sentence(text: Column, query_tokens: Column, compose: bool = True) -> Column:
@@ -114,7 +137,7 @@ def cache_key(model: str, text: Column) -> Column:
 
 
 def dense_cosine(a: Column, b: Column) -> Column:
-    """TXT6 in double precision; 0 for empty, unequal or zero vectors."""
+    """TXT6, in double precision; 0 for empty, unequal or zero vectors."""
     x, y = a.cast("array<double>"), b.cast("array<double>")
     add = lambda s, v: s + v
     dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), add)

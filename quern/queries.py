@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.functions.checkpoints import store
 from quern.functions.joins import keep_first, small
 from quern.operators import answering, chunking, datasets, metrics, retrieval, statistics
 
@@ -32,22 +32,23 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.node_ordinals(chunking.enrich(chunking.fixed_size(blocks, SIZE, OVERLAP, compose=False)))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes, with their words, written once for plans that read them several times."""
+    return store(retrieval.lengths(_nodes(spark, sf_dir), compose=False), "nodes")
+
+
 def txt_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = T.tokens(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(toks).alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
+    toks = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("toks"))
+    return toks.select("doc_id", F.size("toks").alias("n_tokens"), F.md5(F.array_join("toks", " ")).alias("tokens_md5"))
 
 
 def txt_term_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _questions(spark, sf_dir).withColumn("toks", T.tokens(F.col("question"), False))
-    return q.select("question_id", F.size("toks").alias("n"), F.explode("toks").alias("term")).groupBy("question_id", "term", "n").agg(F.round(F.count(F.lit(1)) / F.col("n"), 6).alias("weight")).drop("n")
+    return T.term_vectors(_questions(spark, sf_dir), "question_id", "question", digits=6)
 
 
 def txt_sparse_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _questions(spark, sf_dir).select("question_id", F.explode(T.tokens(F.col("question"), False)).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("question_id")))
-    v = q.withColumn("w", F.col("n") / norm)
-    a, b = (v.select(F.col("question_id").alias(x), "term", F.col("w").alias(f"w{x}")) for x in ("a", "b"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+    v = store(T.term_vectors(_questions(spark, sf_dir), "question_id", "question"), "vectors")
+    return T.sparse_cosine(*(v.withColumnRenamed("question_id", x) for x in ("a", "b")), "a", "b", digits=6).where("a < b")
 
 
 def chk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,21 +74,23 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.statistics(_nodes(spark, sf_dir), compose=False)
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_questions(spark, sf_dir), _nodes(spark, sf_dir), K, compose=False, digits=6)
+def _bm25(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25(_questions(spark, sf_dir), _nodes(spark, sf_dir) if nodes is None else nodes, K, compose=False, digits=6)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).select("question_id", "node_id", "score", "rank")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _questions(spark, sf_dir)
-    return retrieval.with_text(_bm25(spark, sf_dir), _nodes(spark, sf_dir)).drop("section_title").join(small(q), "question_id")
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first K by BM25, and the same with their texts."""
+    nodes = _stored(spark, sf_dir)
+    bm = store(_bm25(spark, sf_dir, nodes), "bm25")
+    return bm, retrieval.with_text(bm, nodes).drop("section_title").join(small(_questions(spark, sf_dir)), "question_id")
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.rerank_lexical(_ranked(spark, sf_dir), 4, 0.25, compose=False, digits=9)
+    return answering.rerank_lexical(_ranked(spark, sf_dir)[1], 4, 0.25, compose=False, digits=9)
 
 
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +98,7 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.citation_context(_reranked(spark, sf_dir), 400, compose=False)
+    return store(answering.citation_context(_reranked(spark, sf_dir), 400, compose=False), "context")
 
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +143,17 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.failures(_predictions(spark, sf_dir), 1, check_citations=False).select("question_id", F.array_join("types", ",").alias("types"), "severity")
 
 
+def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bm, ranked = _ranked(spark, sf_dir)
+    return answering.rerank_lexical(ranked, K, 1.0, compose=False, digits=9), bm
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bm = _bm25(spark, sf_dir)
-    lex = answering.rerank_lexical(_ranked(spark, sf_dir), K, 1.0, compose=False, digits=9)
-    return retrieval.rrf([lex, bm], K, digits=9).select("question_id", "node_id", "score", "rank")
+    return retrieval.rrf(list(_two_lists(spark, sf_dir)), K, digits=9).select("question_id", "node_id", "score", "rank")
 
 
 def hybrid_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bm = _bm25(spark, sf_dir)
-    lex = answering.rerank_lexical(_ranked(spark, sf_dir), K, 1.0, compose=False, digits=9)
-    return retrieval.linear_fusion(lex, bm, K, digits=6).select("question_id", "node_id", "score", "rank")
+    return retrieval.linear_fusion(*_two_lists(spark, sf_dir), K, digits=6).select("question_id", "node_id", "score", "rank")
 
 
 def qrels_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
