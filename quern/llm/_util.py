@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.checkpoints import cut, store, table_path
+
+__all__ = ["buffers", "cut", "fresh", "hint_small", "table_path", "text_views", "write_table"]
+
 #: A side with at most so many rows may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
-    df.write.parquet(path := table_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df, name)
 
 
 def hint_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,11 +42,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def null_first_safe(c: str) -> Column:
-    """Order by ``c`` with nulls after all values."""
-    return F.col(c).asc_nulls_last()
-
-
 def text_views(col: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive slices of a string array of about SLICE_BYTES bytes, with their first row. Nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -91,14 +65,3 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return raw, offs - offs[0]
-
-
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from f(b)
-
-    return df.mapInArrow(run, schema)

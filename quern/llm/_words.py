@@ -139,11 +139,6 @@ def words(col: pa.Array) -> Words:
     return Words(_span_hashes(b, starts, ends), starts, ends, np.searchsorted(starts, offs), raw, offs, b)
 
 
-def hash_word(word: str) -> int:
-    """The hash ``words`` gives a single word."""
-    return int(words(pa.array([word])).hash[0])
-
-
 def chars(raw: np.ndarray, a: int, at: np.ndarray) -> np.ndarray:
     """Character offsets, from byte ``a`` on, of the byte positions ``at`` (sorted or not) of UTF-8 text."""
     at = np.asarray(at, np.int64)

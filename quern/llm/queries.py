@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, exact_dedup, language_id, licenses, orc_tokens, packing, quality_fm, simhash_nsw, suffix_dedup, url_filter
-from quern.llm._util import table_path
+from quern.llm._util import table_path, write_table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.match(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.match(pages, write_table(url_filter.site_rules(pages), "url-rules"))
 
 
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,30 @@ def test_op3_sql_and_odd_rows(spark):
     out = sorted((r["page_id"], r["rule"] or "", r["action"], r["depth"]) for r in url_filter.match(pages, rules).collect())
     assert out == [(1, "", "allow", 0), (2, "", "allow", 0), (3, "a.b.com/x/y", "block", 4), (3, "a.b.com/x/y", "block", 4), (4, "b.com", "block", 1), (5, "", "allow", 0), (6, "", "allow", 0)]
     assert url_filter.match(pages, rules.limit(0)).where("action = 'allow'").count() == 7
+    named = pages.select(F.concat(F.lit("p"), "page_id").alias("page_id"), "url", F.lit(1).alias("key"), F.lit("x").alias("action"))
+    assert url_filter.match(named, rules).where("page_id = 'p3' and rule = 'a.b.com/x/y'").count() == 2
+    long = spark.createDataFrame([(1, "b.com/" + "x/" * 100_000), (2, "c.com")], "page_id bigint, url string")
+    assert sorted((r["page_id"], r["action"]) for r in url_filter.match(long, rules).collect()) == [(1, "block"), (2, "allow")]
     assert url_filter.match(pages.limit(0), rules).count() == 0
 
 
+def test_op3_sweep_by_brute_force(spark):
+    rng = random.Random(8)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(8)]
+    paths = ["".join(f"/{rng.choice('xy')}" for _ in range(rng.randint(0, 4))) for _ in range(30)]
+    pages = [(i, rng.choice(hosts) + rng.choice(paths)) for i in range(600)]
+    rules = sorted({(rng.choice(hosts) + rng.choice(["", *paths]), rng.choice(["allow", "block"])) for _ in range(60)})
+    own = dict(rules)  # one action for each rule
+    key = lambda u: "".join(f"{x}." for x in reversed(u.split("/")[0].split("."))) + u[len(u.split("/")[0]) :]
+    want = []
+    for i, u in pages:
+        hit = sorted((len(key(r)), r) for r in own if (key(u) if "/" in u else key(u) + "/").startswith(key(r)))
+        want.append((i, hit[-1][1] if hit else None, own[hit[-1][1]] if hit else "allow", len(hit)))
+    spread = spark.createDataFrame(pages, "page_id bigint, url string").repartition(4)
+    got = url_filter.match(spread, url_filter.rules_table(spark, list(own.items()))).collect()
+    assert sorted((r["page_id"], r["rule"], r["action"], r["depth"]) for r in got) == sorted(want)
+
+
 def test_op4_suffix_arrays():
     rng = np.random.default_rng(0)
     for n, k in ((1, 2), (40, 2), (300, 3), (300, 200)):
