@@ -67,9 +67,37 @@ def test_op1_buckets_split_and_chain(spark):
     assert all(n <= 6 or n == 9 for n in rows.values())
     docs = table(spark, [f"t{i % 7}" for i in range(200)])
     assert exact_dedup.duplicates(docs, bucket_rows=2).count() == 193
-    run = exact_dedup._chains("k", "t", "d", [], True)
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1]), pa.array(["a", "b", "a"]), pa.array([1, 2, 3])], ["k", "t", "d"])
-    assert next(run(iter([batch]))).to_pydict() == {"doc_id": [3], "dup_of": [1]}  # b has a's hash and stays
+    run = exact_dedup._chains(pa.int64())
+    cols = {"owner": [1] * 5, "key": [1] * 5, "more": [1] * 4 + [2], "doc_id": [1, 2, 3, 4, 5], "text": ["a", "b", "a", "a", "b"]}
+    got = next(run(iter([pa.RecordBatch.from_pydict(cols)]))).to_pydict()
+    assert got["of"] == [1, 2, 1, 1, 5] and got["first"] == [True, True, False, False, True]  # b has both of a's hashes and stays
+
+
+def test_op1_hot_key_is_divided_and_odd_rows_stay(spark):
+    texts = ["hot"] * 270 + ["", "", "x", "x", None, None] + [f"own {i}" for i in range(24)]
+    ids = [*range(299, 29, -1), 3, 2, None, 7, 8, 8, *range(1000, 1024)]
+    docs = table(spark, [*texts, "x", "hot"], [*ids, None, 50])
+    rows = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["dup_of"]) for r in exact_dedup.duplicates(docs, bucket_rows=16).collect())
+    want = sorted([(i, 30) for i in range(31, 300)] + [(50, 30), (3, 2), (-1, 7), (-1, 7)])
+    assert rows == want
+    left = exact_dedup.deduplicate(docs, bucket_rows=16)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in left.collect()) == sorted([(30, "hot"), (2, ""), (7, "x"), (8, ""), (8, ""), *((i, f"own {i - 1000}") for i in range(1000, 1024))])
+    named = docs.where("doc_id is not null").select(F.concat(F.lit("d"), F.format_string("%04d", "doc_id")).alias("doc_id"), "text", F.lit(1).alias("key"), F.lit(2).alias("owner"))
+    assert exact_dedup.duplicates(named, bucket_rows=16).where("dup_of = 'd0030'").count() == 270
+    assert exact_dedup.deduplicate(named).columns == named.columns
+
+
+def test_op1_index_is_opened_searched_and_added_to(spark, tmp_path):
+    docs, more = table(spark, [f"t{i % 40}" for i in range(80)]), table(spark, [f"t{i}" for i in range(30, 60)], range(100, 130))
+    built = exact_dedup.build_index(docs, bucket_rows=16, path=str(tmp_path / "i"))
+    index = exact_dedup.open_index(spark, str(tmp_path / "i"))
+    assert index.directory.slots == built.directory.slots and index.entries(spark).count() == 80
+    found = {r["doc_id"]: r["found"] for r in exact_dedup.lookup(index, more, docs).collect()}
+    assert found == {i: i - 70 for i in range(100, 110)}
+    bigger = exact_dedup.append(index, more)
+    assert bigger.entries(spark).count() == 110 and bigger.directory.counts.sum() == 110 and len(set(bigger.directory.slots)) >= len(set(index.directory.slots))
+    assert exact_dedup.open_index(spark, str(tmp_path / "i")).directory.slots == bigger.directory.slots
 
 
 def test_op2_held_out_accuracy_and_odd_rows(spark, odd, none):
