@@ -190,6 +190,13 @@ def test_op4_brute_force_and_odd_rows(spark, odd, none):
     rows = suffix_dedup.repeats(table(spark, texts), k=12, gram=4, shard_words=500).collect()
     got = {(r["doc_id"], j) for r in rows for j in range(r["start_word"], r["end_word"])}
     assert got == repeated_words(texts, 12)
+    hot = suffix_dedup.repeats(table(spark, texts), k=12, gram=4, most_contexts=3)  # by windows instead of arrays
+    cut = lambda rs: {(r["doc_id"], j) for r in rs if not r["kept"] for j in range(r["start_word"], r["end_word"])}
+    hot = hot.collect()
+    assert {(r["doc_id"], j) for r in hot for j in range(r["start_word"], r["end_word"])} == got and cut(hot) == cut(rows)
+    named = table(spark, texts).select(F.format_string("d%04d", "doc_id").alias("doc_id"), "text", F.lit(1).alias("rid"), F.lit(2).alias("anchor"))
+    assert sorted((int(r["doc_id"][1:]), *r[1:]) for r in suffix_dedup.repeats(named, k=12, gram=4, most_contexts=3).collect()) == sorted(map(tuple, hot))
+    assert suffix_dedup.remove(named, k=12, gram=4).columns == named.columns
     first = {r["doc_id"] for r in rows if r["kept"]}
     assert min(r["doc_id"] for r in rows) in first
     left = suffix_dedup.remove(table(spark, texts), k=12, gram=4)
@@ -198,6 +205,14 @@ def test_op4_brute_force_and_odd_rows(spark, odd, none):
     assert suffix_dedup.remove(odd).columns == odd.columns
 
 
+def test_op4_passage_in_nine_rows_of_ten(spark):
+    notice = prose(9, 71)  # shorter than a passage, in differing surroundings; with ten words more it is one
+    texts = [f"{prose(20, 300 + i)} {notice} {prose(20, 600 + i)}" for i in range(180)] + [f"{prose(9, 1000 + i)} {notice} {prose(8, 72)} {prose(9, 1300 + i)}" for i in range(20)]
+    rows = suffix_dedup.repeats(table(spark, texts), k=12, gram=4, most_contexts=50).collect()
+    assert {(r["doc_id"], j) for r in rows for j in range(r["start_word"], r["end_word"])} == repeated_words(texts, 12)
+    assert {r["doc_id"] for r in rows} == set(range(180, 200))
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     texts, labels = [], []
