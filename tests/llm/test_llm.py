@@ -362,34 +362,6 @@ def test_op8_shared_phrases_count_for_each_item(spark):
     assert want and sorted(m.matches(w.hash, w.ptr)) == sorted(want)
 
 
-def nearest(feats, k, list_rows):
-    """By brute force over all pairs: the k nearest of each node."""
-    lists = defaultdict(list)
-    for n, fs in feats.items():
-        for f in set(fs):
-            lists[f].append(n)
-    out = {}
-    for n, fs in feats.items():
-        best = {}
-        for f in set(fs):
-            order = sorted(lists[f])
-            for m in order:
-                if m != n:
-                    gap = order.index(m) - order.index(n)
-                    best[m] = min(best.get(m, (1 << 60,)), (len(order), f, abs(gap), gap > 0))
-        if best:
-            out[n] = sorted(best, key=best.get)[:k]
-    return out
-
-
-def test_op9_neighbours_by_brute_force(spark):
-    texts = [prose(random.Random(i).randint(1, 60), i % 50) for i in range(120)]
-    known = packing.nodes(table(spark, texts)).cache()
-    feats = {r["node"]: r["feats"] for r in known.collect()}
-    got = {r["node"]: r["near"] for r in packing.neighbours(known).collect()}
-    assert got == nearest(feats, packing.NEIGHBOURS, packing.LIST_ROWS)
-
-
 def test_op9_neighbours_are_the_most_similar(spark):
     rng = random.Random(11)
     texts = []
@@ -435,10 +407,45 @@ def test_op9_walks_and_windows(spark, odd, none):
     assert max(shards.values()) == 1
     total = sum(r["n_tokens"] for r in packing.pack(odd).collect())
     assert total == 30 + 30 + 1 + 20000 and packing.pack(none).count() == 0
+    named = odd.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("shard"), F.lit(2).alias("node"), F.lit(3).alias("size"))
+    assert sum(r["n_tokens"] for r in packing.pack(named).collect()) == total
     copies = packing.pack(table(spark, [prose(40, 1)] * 6)).first()
     assert sorted(copies["doc_ids"]) == list(range(6))
 
 
+def test_op9_shards_keep_related_documents_together(spark):
+    rng = random.Random(4)
+    texts = []
+    for g in range(40):  # groups of documents about one subject each
+        own = vocabulary(60, 500 + g)
+        texts += [" ".join(rng.choice(own) for _ in range(50)) for _ in range(10)]
+    known, graph, placed = packing.related(table(spark, texts), shard_docs=50)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert placed.count() == 400 and len(sizes) > 4
+    (row,) = packing.walked(graph, placed).collect()
+    assert row["edges"] > 1000 and row["walked"] >= 0.8 * row["edges"]  # 1 in 8 by chance
+
+
+def test_op9_copies_in_nine_rows_of_ten(spark):
+    texts = [prose(50, 1)] * 360 + [prose(50, 10 + i) for i in range(40)]
+    known, graph, placed = packing.related(table(spark, texts), shard_docs=60)
+    assert placed.count() == 400 and max(r["count"] for r in placed.groupBy("shard").count().collect()) < 300
+    rows = packing.pack(table(spark, texts), window=500, shard_docs=60).collect()
+    assert sorted(d for r in rows for d in set(r["doc_ids"])) and sum(r["n_tokens"] for r in rows) == 400 * 50
+
+
+def test_op9_packs_tokens_of_a_vocabulary(spark):
+    texts = [prose(random.Random(i).randint(1, 300), i) for i in range(40)]
+    docs = table(spark, [*texts, None, ""])
+    size = {r["doc_id"]: r["n_tokens"] for r in orc_tokens.tokenize(docs).collect()}
+    taken = Counter()
+    for r in packing.pack(docs, window=128, vocabulary=orc_tokens.VOCABULARY).collect():
+        assert r["n_tokens"] <= 128
+        for d, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            taken[d] += n
+    assert dict(taken) == {i: size[i] for i in range(40)}
+
+
 def similar(texts):
     """Groups by brute force over all pairs' exact Jaccard and code distance."""
     w = words(pa.array(texts))
