@@ -1,10 +1,20 @@
-"""Corpus pipeline: documents through five operators, each stage written as Parquet and read again."""
+"""Corpus pipeline: documents through five operators, each stage written as Parquet and read again.
+
+Stages take any rows of (doc_id, text, lang, source, n_chars) and further columns, of any names; all but the last return the columns they got. Defined results, stage by stage:
+
+quality: null, empty and wordless texts go, as do rows scored as bad or toxic; of rows equal in all columns all stay or go; without labels all with words stay.
+exact: of equal texts the least doc_id stays, null ids last; of rows equal in id and text one stays.
+near: of a group of near-duplicates the least doc_id stays, null ids last; rows without words, which quality drops, would stay.
+decontaminate: benchmark spans are cut out and n_chars corrected; a row goes only if no word is left; without items nothing changes.
+pack: windows of the ids of what is left and of the tokens that each takes (byte-level BPE, so no words are cut off); a very long text fills several windows.
+An empty table passes all stages as an empty table, and gives no windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, exact_dedup, packing, quality_fm, simhash_nsw
+from quern.llm import decontaminate, exact_dedup, orc_tokens, packing, quality_fm, simhash_nsw
 from quern.llm._util import write_table
 
 
@@ -25,7 +35,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, vocabulary=orc_tokens.VOCABULARY)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", leaks), ("pack", pack)]
