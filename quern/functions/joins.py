@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: A side with at most so many rows, and bytes of text, may be broadcast.
@@ -43,3 +48,27 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """AGG16: of the rows of each key the last in order."""
     row = F.struct(*order, *[c for c in df.columns if c not in keys and c not in order])
     return df.groupBy(*keys).agg(F.max(row).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
+def containing(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str, phrase_id: str, phrase: str) -> DataFrame:
+    """(doc_id, phrase_id) of the texts that contain a phrase: one pass over the texts through an automaton of the phrases, which must fit a broadcast."""
+    if not fits(phrases.select(phrase_id, phrase)):
+        raise ValueError("too many phrases for one automaton")
+    auto, ids = ahocorasick.Automaton(), []
+    for i, p in phrases.where(F.coalesce(phrase, F.lit("")) != "").select(phrase_id, phrase).collect():  # checked above
+        auto.add_word(p, [*auto.get(p, []), len(ids)])
+        ids.append(i)
+    if not ids:
+        return docs.select(doc_id).crossJoin(phrases.select(phrase_id)).limit(0)
+    auto.make_automaton()
+    shared = docs.sparkSession.sparkContext.broadcast((auto, pa.array(ids, to_arrow_type(phrases.schema[phrase_id].dataType))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = shared.value
+        for b in batches:
+            hits = [(r, k) for r, t in enumerate(b[text].to_pylist()) if t for k in {k for _, ks in find.iter(t) for k in ks}]
+            rows, which = (pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b[doc_id].take(rows), known.take(which)], [doc_id, phrase_id])
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c, df in ((doc_id, docs), (phrase_id, phrases))]
+    return docs.select(doc_id, text).mapInArrow(run, ", ".join(kinds))

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.functions.checkpoints import cut
 
 
 def parse_blocks(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
     """SRC3: (doc_id, block_ord, block_id, text, is_heading) of docs (doc_id, text)."""
     parts = F.filter(F.transform(F.split("text", separator), T.strip), lambda s: s != "")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("block_ord", "text"))
+    rows = docs.select("doc_id", *[c for c in ("source_path",) if c in docs.columns], F.posexplode(parts).alias("block_ord", "text"))
     return rows.withColumn("block_id", F.concat("doc_id", F.lit(":b"), F.col("block_ord") + 1)).withColumn("is_heading", T.looks_like_heading(F.col("text")))
 
 
@@ -33,6 +37,12 @@ def _title() -> Column:
     return F.max_by(F.when(F.col("is_heading"), T.heading_title(F.col("text"))), F.when(F.col("is_heading"), F.col("block_ord")))
 
 
+def _merged(blocks: DataFrame, *keys: str) -> DataFrame:
+    """CHK0c: (keys, text, section_title, and source_path of the first block where there is one) of blocks joined in order."""
+    path = [F.min_by("source_path", "block_ord").alias("source_path")] if "source_path" in blocks.columns else []
+    return blocks.groupBy(*keys).agg(_joined().alias("text"), _title().alias("section_title"), *path)
+
+
 def _windows(size: int, overlap: int) -> Column:
     """CHK0 over the column ``toks``."""
     step = max(1, size - overlap)
@@ -46,12 +56,13 @@ def _emit(groups: DataFrame, size: int, overlap: int, always: bool, compose: boo
     pieces = _windows(size, overlap)
     if not always:
         pieces = F.when(F.size("toks") <= size, F.array("text")).otherwise(pieces)
-    rows = toks.select("doc_id", "grp", "section_title", *([F.col("text").alias("parent_text"), F.size("toks").alias("parent_token_count")] if parents else []), F.posexplode(pieces).alias("win", "raw"))
+    path = [c for c in ("source_path",) if c in groups.columns]
+    rows = toks.select("doc_id", "grp", "section_title", *path, *([F.col("text").alias("parent_text"), F.size("toks").alias("parent_token_count")] if parents else []), F.posexplode(pieces).alias("win", "raw"))
     rows = rows.withColumn("chunk_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("grp", "win")) - 1)
     if parents:
         first = F.min("chunk_ord").over(Window.partitionBy("doc_id", "grp")) + 1
         rows = rows.withColumn("parent_id", F.concat("doc_id", F.lit(":p"), first))
-    keep = ["parent_id", "parent_text", "parent_token_count"] if parents else []
+    keep = [*path, *(["parent_id", "parent_text", "parent_token_count"] if parents else [])]
     return with_ids(rows).select("doc_id", "chunk_ord", "chunk_id", T.strip(F.col("raw")).alias("text"), "section_title", *keep)
 
 
@@ -62,30 +73,42 @@ def with_ids(rows: DataFrame) -> DataFrame:
 
 def fixed_size(blocks: DataFrame, size: int = 250, overlap: int = 40, compose: bool = True) -> DataFrame:
     """CHK1."""
-    return _emit(blocks.groupBy("doc_id").agg(_joined().alias("text"), _title().alias("section_title")).withColumn("grp", F.lit(0)), size, overlap, True, compose)
+    return _emit(_merged(blocks, "doc_id").withColumn("grp", F.lit(0)), size, overlap, True, compose)
 
 
-def recursive(blocks: DataFrame, size: int = 300, overlap: int = 40, compose: bool = True) -> DataFrame:
-    """CHK2: whole blocks are packed greedily while they fit; the packing is a fold over each document's block sizes."""
-    sized = blocks.withColumn("n", T.token_count(F.col("text"), compose))
-    state = "struct<cur:int,grp:int,out:array<int>>"
-    start = F.struct(F.lit(0).alias("cur"), F.lit(-1).alias("grp"), F.array().cast("array<int>").alias("out")).cast(state)
+def packing(size: int) -> Callable[[Column], Column]:
+    """CHK2's fold as a function of an array of sizes in order: the group of each, a new one where the next would exceed ``size``. Only the integers go to Python, in Arrow batches."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def groups(sizes: pd.Series) -> pd.Series:
+        def one(ns: np.ndarray) -> list[int]:
+            cur, grp, out = 0, -1, []
+            for n in ns.tolist():
+                if grp < 0 or cur + n > size:
+                    cur, grp = 0, grp + 1
+                cur += n
+                out.append(grp)
+            return out
 
-    def step(s: Column, n: Column) -> Column:
-        fits = (s["grp"] >= 0) & (s["cur"] + n <= size)
-        grp = s["grp"] + F.when(fits, 0).otherwise(1)
-        return F.struct(F.when(fits, s["cur"] + n).otherwise(n).alias("cur"), grp.alias("grp"), F.array_append(s["out"], grp).alias("out")).cast(state)
+        return sizes.map(one)
 
-    rows = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "text", "is_heading", "n"))).alias("b"))
-    rows = rows.withColumn("g", F.aggregate(F.transform("b", lambda x: x["n"]), start, step)["out"])
-    flat = rows.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("x")).select("doc_id", F.col("x.b.block_ord").alias("block_ord"), F.col("x.b.text").alias("text"), F.col("x.b.is_heading").alias("is_heading"), F.col("x.g").alias("grp"))
-    return _emit(flat.groupBy("doc_id", "grp").agg(_joined().alias("text"), _title().alias("section_title")), size, overlap, False, compose)
+    return groups
+
+
+def recursive(blocks: DataFrame, size: int = 300, overlap: int = 40, compose: bool = True) -> DataFrame:
+    """CHK2: whole blocks are packed greedily while they fit."""
+    sized = blocks.withColumn("n", T.token_count(F.col("text"), compose))
+    keep = [c for c in ("block_ord", "text", "is_heading", "n", "source_path") if c in sized.columns]
+    rows = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*keep))).alias("b"))
+    rows = rows.withColumn("g", packing(size)(F.transform("b", lambda x: x["n"])))
+    flat = rows.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("x")).select("doc_id", *[F.col(f"x.b.{c}").alias(c) for c in keep if c != "n"], F.col("x.g").alias("grp"))
+    return _emit(_merged(flat, "doc_id", "grp"), size, overlap, False, compose)
 
 
 def _sections(blocks: DataFrame) -> DataFrame:
     """WIN3: a section starts at each heading."""
     w = Window.partitionBy("doc_id").orderBy("block_ord")
-    return blocks.withColumn("grp", F.sum(F.col("is_heading").cast("int")).over(w)).groupBy("doc_id", "grp").agg(_joined().alias("text"), _title().alias("section_title"))
+    return _merged(blocks.withColumn("grp", F.sum(F.col("is_heading").cast("int")).over(w)), "doc_id", "grp")
 
 
 def heading_aware(blocks: DataFrame, size: int = 350, overlap: int = 40, compose: bool = True) -> DataFrame:
@@ -106,9 +129,13 @@ def paragraphs(docs: DataFrame, max_tokens: int = 300, compose: bool = True) ->
 
 
 def corpus_ordinals(chunks: DataFrame) -> DataFrame:
-    """WIN4: chunk_ord counted over the whole corpus, by prefix sums of the documents' counts (one row for each document, not each chunk)."""
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """WIN4: chunk_ord counted over the whole corpus in order of doc_id: documents' counts are summed within ranges of doc_id, and ahead of them the ranges' totals, one number each."""
+    counts = cut(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange("doc_id").withColumn("_range", F.spark_partition_id()))
+    ahead, total = {-1: 0}, 0
+    for r, n in counts.groupBy("_range").agg(F.sum("_n")).orderBy("_range").collect():
+        ahead[r], total = total, total + n
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("_before", within + F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv])[F.col("_range")]).select("doc_id", "_before")
     return chunks.join(before, "doc_id").withColumn("chunk_ord", F.col("chunk_ord") + F.col("_before")).drop("_before")
 
 

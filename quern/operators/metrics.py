@@ -117,16 +117,13 @@ def failures(df: DataFrame, k: int = 5, check_citations: bool = True) -> DataFra
     return rows.select("question_id", "types", F.array_max(F.transform("types", lambda t: weight[t])).alias("severity"))
 
 
+def worst_first(failed: DataFrame) -> DataFrame:
+    """SRT3: failures by falling severity, then in order of questions."""
+    return failed.orderBy(F.desc("severity"), "question_id")
+
+
 def cost_summary(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AGG12, AGG13: totals of usage rows (phase, kind, prompt_tokens, completion_tokens, cost, priced); ``estimated`` only if every call is priced."""
     money = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 8)
     parts = [money(F.when(F.col("phase") == p, F.col("cost"))).alias(f"{p}_cost") for p in ("pipeline", "measurement", "warmup", "judge")]
     return calls.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), *parts, money(F.col("cost")).alias("total_spend"), F.when(F.bool_and("priced"), "estimated").otherwise("unknown").alias("status"))
-
-
-def under_budget(calls: DataFrame, order: str, most: float) -> DataFrame:
-    """The calls, in order, before the running cost first reaches ``most`` (a single ordered pass: calls, not documents)."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent", F.coalesce(F.sum("cost").over(w), F.lit(0.0))).where(F.col("spent") < most)

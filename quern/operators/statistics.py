@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,11 +83,9 @@ def pareto(intervals: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.groupBy("candidate").agg((F.bool_or(F.col("v") == "improved") & ~F.bool_or(F.col("v").isin("regressed", "insufficient_data")) & (F.count_distinct("metric") == len(metrics))).alias("supported"))
 
 
-def claim_eligibility(facts: dict[str, Any]) -> dict[str, Any]:
-    """BM4 over facts gathered on the driver: each that doesn't hold is a reason."""
-    reasons = [name for name in ("suite_claim_eligible", "clean_worktree", "complete", "all_ok", "baselines_present", "fingerprints_match", "no_sampling") if not facts.get(name)]
-    costs = [name for name in ("cost_estimated",) if not facts.get(name)]
-    return {"eligible": not reasons, "reasons": reasons, "cost_eligible": not reasons and not costs, "cost_reasons": costs}
+def median(rows: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
+    """AGG7: the exact median of repeated measurements of each of ``by``."""
+    return rows.groupBy(*by).agg(F.round(F.median(value), 3).alias(value), F.count(value).alias("repetitions"))
 
 
 def compare_warnings(reports: DataFrame) -> DataFrame:

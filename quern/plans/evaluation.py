@@ -1,4 +1,4 @@
-"""Evaluation and comparison of techniques (EV1-EV3, BM1, BM2) as batch plans."""
+"""Evaluation and comparison of techniques (EV2, EV3, BM1, BM2) as batch plans."""
 
 from __future__ import annotations
 
@@ -7,18 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.checkpoints import store
 from quern.operators import metrics, statistics
 from quern.plans import techniques
 
 COMPARED = ("recall", "mrr", "ndcg", "map", "context_precision")
 
 
-def check_profile(items: DataFrame, least: dict[str, int]) -> list[str]:
-    """EV1: question types of which there are fewer than asked for, by one conditional count."""
-    row = items.agg(*[F.count_if(F.col("question_type") == t).alias(t) for t in least]).first() if least else {}
-    return [f"{t}: {row[t]} of {n}" for t, n in least.items() if row[t] < n]
-
-
 def evaluate(items: DataFrame, nodes: DataFrame, technique: techniques.Technique, cutoffs: list[int], providers: techniques.Providers | None = None, mode: str = "full_rag", compose: bool = True, done: DataFrame | None = None) -> DataFrame:
     """EV3: (technique, question row) predictions joined to items (question_id, question, expected, is_answerable, ...).
 
@@ -43,11 +38,11 @@ def compare(runs: dict[str, DataFrame], baseline: str, k: int = 5, samples: int
 
 
 def benchmark(jobs: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """BM1: each technique's predictions, and the errors of those that failed; one failure leaves the others alone."""
+    """BM1: each technique's predictions, computed and stored one after the other, and the errors of those that failed, tasks included; one failure leaves the others alone."""
     done, failed = {}, {}
     for name, job in jobs.items():
         try:
-            done[name] = job()
+            done[name] = store(job(), f"predictions-{name}")
         except Exception as e:  # noqa: BLE001
             failed[name] = f"{type(e).__name__}: {e}"
     return done, failed

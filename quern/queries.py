@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.checkpoints import store
-from quern.functions.joins import keep_first, small
+from quern.functions.joins import containing, keep_first, small
 from quern.operators import answering, chunking, datasets, metrics, retrieval, statistics
 
 K, SIZE, OVERLAP = 6, 120, 20
@@ -57,7 +57,7 @@ def chk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = chunking.clean(chunking.parse_blocks(_docs(spark, sf_dir), "\n"), compose=False)
-    return chunking.heading_aware(blocks, compose=False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return chunking.heading_aware(blocks, compose=False).select("doc_id", "chunk_ord", "chunk_id", "section_title", F.md5("text").alias("text_md5"))
 
 
 def chk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ def cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_abstention(F.col("text")).alias("abstains"), T.safe_id(F.col("role")).alias("role_id"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_abstention(F.col("text")).alias("abstains"), T.safe_id(T.strip(F.col("text"))).alias("text_id"))
 
 
 def parent_child_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ def parent_child_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _questions(spark, sf_dir)
     nodes = techniques.ingest(_docs(spark, sf_dir), techniques.TECHNIQUES["parent_child"], separator="\n", compose=False)
     got = techniques.query(q, nodes, techniques.TECHNIQUES["parent_child"], compose=False)
-    truth = _docs(spark, sf_dir).join(small(q), F.contains("text", "question")).groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
+    truth = containing(_docs(spark, sf_dir), q, "doc_id", "text", "question_id", "question").groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
     rows = got.join(truth, "question_id", "left").withColumn("is_answerable", F.col("expected").isNotNull())
     return metrics.by_question(rows, 5).select("question_id", "is_answerable", "recall", "mrr", "ndcg", "map", "context_precision", "abstention_correct")
 
@@ -260,12 +260,22 @@ _LABELS = _DENSE + ", dist AS (SELECT question_id, label, ql, row_number() OVER
 _BY_QUERY = "SELECT question_id, CASE WHEN pos IS NULL THEN 0.0 ELSE 1.0 END AS recall, CASE WHEN pos IS NULL THEN 0.0 ELSE 1.0 END AS hit_rate, coalesce(round(1.0 / pos, 6), 0.0) AS mrr, coalesce(round(1 / log2(pos + 1), 6), 0.0) AS ndcg, coalesce(round(1.0 / pos, 6), 0.0) AS map, CASE WHEN pos IS NULL THEN 0.0 ELSE round(1.0 / 5, 6) END AS context_precision FROM hit"
 _SENT = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
+_TITLE = "regexp_replace(regexp_replace({0}, '^[# ]+', ''), '^\\s+|\\s+$', '', 'g')"
+_SECTIONS = (
+    _blocks_sql("\\n")
+    + ", sec AS (SELECT doc_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY block_ord) AS t, arg_max(text, block_ord) FILTER (is_heading) AS h FROM (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_ord) AS grp FROM blocks) GROUP BY 1, 2), "
+    + f"tk AS (SELECT doc_id, grp, t, {_TITLE.format('h')} AS title, {_TOK.format('t')} AS toks FROM sec)"
+)
+_SEC_WINDOWS = "SELECT doc_id, grp, a, title, len(toks) AS whole, array_to_string(toks[a + 1 : a + {size}], ' ') AS text FROM (SELECT doc_id, grp, title, toks, unnest(range(0, len(toks), {step})) AS a FROM {src})"
+
 ORACLE_SQL: dict[str, str] = {
     "txt_tokenize": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len({_TOK.format('text')}) AS INTEGER) AS n_tokens, md5(array_to_string({_TOK.format('text')}, ' ')) AS tokens_md5 FROM documents",
     "txt_term_vector": f"SELECT question_id, term, round(count(*) / n, 6) AS weight FROM (SELECT item_id AS question_id, len({_TOK.format('text')}) AS n, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY question_id, term, n",
     "txt_sparse_cosine": f"WITH q AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2), v AS (SELECT item_id, term, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS w FROM q) SELECT x.item_id AS a, y.item_id AS b, round(sum(x.w * y.w), 6) AS cosine FROM v x JOIN v y ON x.term = y.term AND x.item_id < y.item_id GROUP BY 1, 2",
     "chk_fixed": f"WITH {_NODES} SELECT doc_id, CAST(chunk_ord AS INTEGER) AS chunk_ord, node_id AS chunk_id, md5(text) AS text_md5 FROM nodes",
-    "chk_heading": f"WITH {_blocks_sql(chr(92) + 'n')}, sec AS (SELECT doc_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY block_ord) AS t FROM (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_ord) AS grp FROM blocks) GROUP BY 1, 2), tk AS (SELECT doc_id, grp, t, {_TOK.format('t')} AS toks FROM sec), pieces AS (SELECT doc_id, t AS text FROM tk WHERE len(toks) <= 350 UNION ALL SELECT doc_id, text FROM ({_WINDOWS.format(size=350, step=310, src='(SELECT * FROM tk WHERE len(toks) > 350)')})) SELECT doc_id, count(*) AS chunks, CAST(sum(length({_SENT.format('text')})) AS BIGINT) AS chars FROM pieces GROUP BY 1",
+    "chk_heading": f"WITH {_SECTIONS}, pieces AS (SELECT doc_id, grp, 0 AS a, t AS text, title FROM tk WHERE len(toks) <= 350 UNION ALL SELECT doc_id, grp, a, text, title FROM ({_SEC_WINDOWS.format(size=350, step=310, src='(SELECT * FROM tk WHERE len(toks) > 350)')})), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, a) - 1 AS n FROM pieces) SELECT doc_id, CAST(n AS INTEGER) AS chunk_ord, doc_id || ':c' || (n + 1) || ':' || substr(sha1(text), 1, 10) AS chunk_id, title AS section_title, md5({_SENT.format('text')}) AS text_md5 FROM o",
+    "chk_parent_child": f"WITH {_SECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, a) - 1 AS n FROM ({_SEC_WINDOWS.format(size=220, step=185, src='tk')})) SELECT doc_id, CAST(n AS INTEGER) AS chunk_ord, doc_id || ':c' || (n + 1) || ':' || substr(sha1(text), 1, 10) AS chunk_id, doc_id || ':p' || (min(n) OVER (PARTITION BY doc_id, grp) + 1) AS parent_id, CAST(whole AS INTEGER) AS parent_token_count, text FROM o",
+    "chk_recursive": f"WITH RECURSIVE {_blocks_sql(chr(92) + 'n')}, sized AS (SELECT doc_id, text, len({_TOK.format('text')}) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord) AS i FROM blocks), folded AS (SELECT doc_id, i, n AS cur, 0 AS grp FROM sized WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, CASE WHEN f.cur + s.n <= 300 THEN f.cur + s.n ELSE s.n END, CASE WHEN f.cur + s.n <= 300 THEN f.grp ELSE f.grp + 1 END FROM folded f JOIN sized s ON s.doc_id = f.doc_id AND s.i = f.i + 1), tk AS (SELECT *, {_TOK.format('t')} AS toks, CAST(NULL AS VARCHAR) AS title FROM (SELECT doc_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY i) AS t FROM folded JOIN sized USING (doc_id, i) GROUP BY 1, 2)), pieces AS (SELECT doc_id, grp, 0 AS a, t AS text FROM tk WHERE len(toks) <= 300 UNION ALL SELECT doc_id, grp, a, text FROM ({_SEC_WINDOWS.format(size=300, step=260, src='(SELECT * FROM tk WHERE len(toks) > 300)')})), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, a) - 1 AS n FROM pieces) SELECT doc_id, CAST(n AS INTEGER) AS chunk_ord, doc_id || ':c' || (n + 1) || ':' || substr(sha1(text), 1, 10) AS chunk_id, {_SENT.format('text')} AS text FROM o",
     "bm25_stats": f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY 1",
     "bm25_topk": f"WITH {_BM25} SELECT question_id, node_id, score, rank FROM bm",
     "rerank_lexical": f"WITH {_RERANKED} SELECT question_id, node_id, score, rank FROM rr",
@@ -284,7 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "trial_stats": "SELECT event_type AS technique, 'value' AS metric, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events WHERE value IS NOT NULL GROUP BY 1",
     "paired_delta": "WITH e AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2) SELECT 'latency_ms_avg' AS metric, count(*) AS paired_queries, round(avg(c.v - b.v), 6) AS delta FROM e b JOIN e c ON b.user_id = c.user_id AND b.event_type = 'view' AND c.event_type = 'click' HAVING count(*) > 0",
     "cost_summary": f"WITH c AS (SELECT role, len({_TOK.format('text')}) AS n FROM conversations) SELECT role, count(*) AS calls, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE n END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS completion_tokens, round(sum(n / 1000 * CASE WHEN role = 'assistant' THEN 1.5 ELSE 0.5 END), 6) AS total_spend, 'estimated' AS status FROM c GROUP BY 1",
-    "abstentions": "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{m}')" for m in T.ABSTENTION_MARKERS) + " AS abstains, role AS role_id FROM conversations",
+    "abstentions": "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{m}')" for m in T.ABSTENTION_MARKERS) + " AS abstains, CASE WHEN x = '' THEN 'doc' ELSE x END AS text_id FROM (SELECT *, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 180) AS x FROM conversations)",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import importlib.metadata
 import io
 import json
 import os
@@ -11,6 +12,7 @@ import re
 import shutil
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
@@ -63,69 +65,119 @@ def fingerprint(value: Any) -> str:
     return "sha256:" + hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
+def source_fingerprint(docs: DataFrame) -> str:
+    """MT2: a hash of all (doc_id, text), whatever their order."""
+    h = F.xxhash64("doc_id", "text")
+    n, low, total = docs.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+    return fingerprint([n, low, str(total)])
+
+
+def build_manifest(pipeline: str, config: dict[str, Any], docs: DataFrame | None = None, embedding_model: str | None = None, level: str = "unspecified", **extra: Any) -> dict[str, Any]:
+    """MT2: who made an artifact, from what and how."""
+    versions = {}
+    for name in ("pyspark", "pyarrow", "numpy"):
+        versions[name] = importlib.metadata.version(name)
+    return {
+        "pipeline": {"id": pipeline, "implementation_level": level, "config": config, "config_fingerprint": fingerprint({"id": pipeline, "config": config})},
+        "embedding": {"model": embedding_model},
+        "corpus": {"fingerprint": None if docs is None else source_fingerprint(docs), "documents": None if docs is None else docs.select("doc_id").distinct().count()},
+        "runtime": {"created_at": datetime.now(UTC).isoformat(), "versions": versions},
+        "extra": extra,
+    }
+
+
+def check_manifest(m: dict[str, Any], pipeline: str | None = None) -> None:
+    """MT2: an error unless a manifest has all its parts, its configuration is what its fingerprint says, and it is of the pipeline asked for."""
+    if missing := sorted({"pipeline", "embedding", "corpus", "runtime"} - set(m)):
+        raise ValueError(f"the manifest lacks {', '.join(missing)}")
+    own = m["pipeline"]
+    if not own.get("id"):
+        raise ValueError("the manifest lacks pipeline.id")
+    if pipeline is not None and own["id"] != pipeline:
+        raise ValueError(f"the artifact is of {own['id']}, not {pipeline}")
+    if own.get("config_fingerprint") != fingerprint({"id": own["id"], "config": own.get("config")}):
+        raise ValueError("the configuration's fingerprint is wrong")
+
+
+def stale(m: dict[str, Any], docs: DataFrame | None = None) -> list[str]:
+    """MT2: what has changed since an artifact was made: its sources, the versions it was made with."""
+    out = []
+    if docs is not None and m["corpus"].get("fingerprint") != source_fingerprint(docs):
+        out.append("sources")
+    return out + [n for n, v in m["runtime"].get("versions", {}).items() if importlib.metadata.version(n) != v]
+
+
 def save_artifact(nodes: DataFrame, path: str, manifest: dict[str, Any]) -> dict[str, Any]:
-    """SRC8: nodes as Parquet, then a manifest; a reader never sees one without the other's rows."""
+    """SRC8, SRC10: nodes with their embeddings as one Parquet table, then a manifest with its files' hash; a reader never sees one without the other's rows. What an earlier artifact left is deleted last."""
     spark = nodes.sparkSession
+    if "pipeline" in manifest:
+        check_manifest(manifest)
     data = f"{path}/nodes-{uuid.uuid4().hex}"
     nodes.write.parquet(data)
     whole = spark.read.parquet(data)
     has = "embedding" in whole.columns
-    widths = [r[0] for r in whole.where("embedding is not null").select(F.size("embedding")).distinct().limit(2).collect()] if has else []
-    if len(widths) > 1:
-        raise ValueError("embeddings differ in width")  # AGG14
-    full = manifest | {"version": VERSION, "nodes": whole.count(), "data": os.path.basename(data), "dimensions": widths[0] if widths else None}
+    widths, lacking = [], 0
+    if has:
+        widths = [r[0] for r in whole.where("embedding is not null").select(F.size("embedding")).distinct().limit(2).collect()]
+        lacking = whole.where("embedding is null").count() if widths else 0
+    if len(widths) > 1 or lacking:
+        shutil.rmtree(data, ignore_errors=True)
+        raise ValueError("embeddings are missing or differ in width")  # AGG14
+    full = manifest | {"version": VERSION, "nodes": whole.count(), "data": os.path.basename(data), "dimensions": widths[0] if widths else None, "files_fingerprint": files_fingerprint(spark, data)[2]}
     write_json(f"{path}/manifest.json", full)
+    for old in Path(path).glob("nodes-*"):
+        if old.name != full["data"]:
+            shutil.rmtree(old, ignore_errors=True)
     return full
 
 
-def load_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    """SRC9."""
+def files_fingerprint(spark: SparkSession, path: str) -> tuple[int, int, str]:
+    """AGG19: (files, bytes, hash over each file's name and sha256) below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = files.select("length", F.xxhash64(F.regexp_extract("path", r"([^/]+)$", 1), F.sha2("content", 256)).alias("h"))
+    n, size, low, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return n, size, fingerprint([n, low, str(total)])
+
+
+def load_artifact(spark: SparkSession, path: str, pipeline: str | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """SRC9: nodes and manifest, checked against each other before any model is called."""
     m = read_json(f"{path}/manifest.json")
     if m.get("version") != VERSION:
         raise ValueError(f"artifact version {m.get('version')} isn't {VERSION}")
+    if "pipeline" in m or pipeline is not None:
+        check_manifest(m, pipeline)
     nodes = spark.read.parquet(f"{path}/{m['data']}")
     if (n := nodes.count()) != m["nodes"]:
         raise ValueError(f"the manifest counts {m['nodes']} nodes, the table has {n}")
+    if files_fingerprint(spark, f"{path}/{m['data']}")[2] != m["files_fingerprint"]:
+        raise ValueError("the artifact's files have changed")
     return nodes, m
 
 
 def inspect_artifact(spark: SparkSession, path: str) -> dict[str, Any]:
     """SRC11, AGG19."""
     nodes, m = load_artifact(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{m['data']}").agg(F.count(F.lit(1)), F.sum("length")).first()
-    return {"manifest": m, "nodes": m["nodes"], "has_embeddings": m["dimensions"] is not None, "files": files[0], "bytes": files[1]}
+    files, size, _ = files_fingerprint(spark, f"{path}/{m['data']}")
+    return {"manifest": m, "nodes": m["nodes"], "has_embeddings": m["dimensions"] is not None, "files": files, "bytes": size}
 
 
-def embed_cached(texts: DataFrame, cache: str, model: str, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
-    """SRC12, EMB1: ``texts`` with their embeddings; only texts whose key the Parquet cache lacks are embedded, each once, and appended."""
+def embed_cached(texts: DataFrame, cache: str, model: str, embed: Callable[[DataFrame], DataFrame], text: str = "text", use: bool = True) -> DataFrame:
+    """SRC12, EMB1: ``texts`` with their embeddings and ``embedding_model``; only texts whose key the Parquet cache lacks are embedded, each once, and appended.
+
+    The cache is one folder for each model, of keys' first hex digit, so a lookup reads what it may need. ``use`` False embeds all, and neither reads nor writes it.
+    """
     spark = texts.sparkSession
     keyed = texts.withColumn("_key", T.cache_key(model, F.col(text)))
-    known = spark.read.parquet(cache).dropDuplicates(["_key"]) if Path(cache).exists() else None
     need = keyed.groupBy("_key").agg(F.min(text).alias("text"))
-    need = need if known is None else need.join(known.select("_key"), "_key", "left_anti")
-    embed(need).select("_key", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(cache)
-    return keyed.join(spark.read.parquet(cache).dropDuplicates(["_key"]), "_key").drop("_key")
-
-
-def write_dataset(path: str, documents: DataFrame, queries: DataFrame, qrels: DataFrame, manifest: dict[str, Any]) -> None:
-    """SRC14: the triplet and its manifest, staged and then swapped in, the old one kept until then."""
-    stage, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    try:
-        counts = {}
-        for name, df in (("documents", documents), ("queries", queries), ("qrels", qrels)):
-            df.write.json(f"{stage}/{name}")
-            counts[name] = df.count()
-        write_json(f"{stage}/manifest.json", manifest | {"counts": counts})
-        if Path(path).exists():
-            os.rename(path, old)
-        os.rename(stage, path)
-    except BaseException:
-        if Path(old).exists() and not Path(path).exists():
-            os.rename(old, path)
-        raise
-    finally:
-        shutil.rmtree(stage, ignore_errors=True)
-        shutil.rmtree(old, ignore_errors=True)
+    tag = lambda df: keyed.join(df, "_key").drop("_key").withColumn("embedding_model", F.lit(model))
+    if not use:
+        return tag(embed(need).select("_key", F.col("embedding").cast("array<float>").alias("embedding")))
+    path = f"{cache}/model={hashlib.sha256(model.encode()).hexdigest()[:16]}"
+    if Path(path).exists():
+        need = need.join(spark.read.parquet(path).select("_key"), "_key", "left_anti")
+    new = embed(need).select("_key", F.col("embedding").cast("array<float>").alias("embedding"), F.substring("_key", 1, 1).alias("_part"))
+    new.write.mode("append").partitionBy("_part").parquet(path)
+    return tag(spark.read.schema("_key string, embedding array<float>, _part string").parquet(path).drop("_part"))
 
 
 def summary_csv(rows: list[dict[str, Any]]) -> str:
@@ -204,11 +256,37 @@ def load_config(path: str | Path, env: dict[str, str] | None = None) -> Any:
     try:
         return substitute(json.loads(raw), env)
     except json.JSONDecodeError:
-        lines = [(len(x) - len(x.lstrip()), re.sub(r"\s+#.*$", "", x).strip()) for x in raw.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+        lines = [(len(x) - len(x.lstrip()), y) for x in raw.splitlines() if (y := _uncommented(x))]
         return substitute(_yaml(lines, 0, lines[0][0])[0] if lines else {}, env)
 
 
+def _uncommented(line: str) -> str:
+    """A line up to a ``#`` that begins it or follows a blank, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and (not line[:i].strip() or line[:i].rstrip()[-1:] in ":-[,"):
+            quote = c
+        elif c == "#" and not line[:i][-1:].strip():
+            return line[:i].strip()
+    return line.strip()
+
+
 def load_env(path: str | Path) -> dict[str, str]:
     """SRC16: NAME=value lines."""
     pairs = (x.split("=", 1) for x in Path(path).read_text("utf-8").splitlines() if "=" in x and not x.lstrip().startswith("#"))
     return {k.strip().removeprefix("export ").strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
+def env_value(name: str, default: Any = None, kind: type = str, env: dict[str, str] | None = None) -> Any:
+    """SRC16: a variable as a str, int, float or bool; the default where it is unset or blank; an error if it isn't one."""
+    raw = (dict(os.environ) if env is None else env).get(name, "").strip()
+    if not raw:
+        return default
+    if kind is bool:
+        return raw.lower() in ("1", "true", "yes", "on")
+    try:
+        return kind(raw)
+    except ValueError:
+        raise RuntimeError(f"{name} must be {kind.__name__}, not {raw!r}") from None
