@@ -29,7 +29,7 @@ def rerank_lexical(ranked: DataFrame, k: int, weight: float = 0.35, compose: boo
     return top_k(scored, ["question_id"], [F.desc("score"), "before"], k).drop("before").withColumn("reranker", F.lit("lexical_overlap"))
 
 
-def rerank_model(ranked: DataFrame, k: int, scorer: Callable[[Column, Column], Column], fallback_weight: float = 0.25, strict: bool = True, name: str = "cross_encoder") -> DataFrame:
+def rerank_model(ranked: DataFrame, k: int, scorer: Callable[[Column, Column], Column], fallback_weight: float = 0.25, strict: bool = True, name: str = "cross_encoder", compose: bool = True, digits: int | None = None) -> DataFrame:
     """RRK3: the score that ``scorer`` (question, text) gives; a question of which it leaves a row null falls back to RRK2, or raises if strict."""
     scored = ranked.withColumn("model", scorer(F.col("question"), F.col("text")))
     if strict:
@@ -37,7 +37,7 @@ def rerank_model(ranked: DataFrame, k: int, scorer: Callable[[Column, Column], C
         return top_k(checked, ["question_id"], [F.desc("score"), "before"], k).drop("before").withColumn("reranker", F.lit(name))
     scored = scored.withColumn("failed", F.max(F.col("model").isNull()).over(Window.partitionBy("question_id")))
     good = top_k(scored.where("not failed").withColumn("score", F.col("model")).withColumnRenamed("rank", "before"), ["question_id"], [F.desc("score"), "before"], k).drop("before", "model", "failed").withColumn("reranker", F.lit(name))
-    return good.unionByName(rerank_lexical(scored.where("failed").drop("model", "failed"), k, fallback_weight))
+    return good.unionByName(rerank_lexical(scored.where("failed").drop("model", "failed"), k, fallback_weight, compose, digits))
 
 
 def effective_reranker(ranked: DataFrame) -> DataFrame:

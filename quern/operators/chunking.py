@@ -95,14 +95,18 @@ def packing(size: int) -> Callable[[Column], Column]:
     return groups
 
 
-def recursive(blocks: DataFrame, size: int = 300, overlap: int = 40, compose: bool = True) -> DataFrame:
-    """CHK2: whole blocks are packed greedily while they fit."""
+def _packed(blocks: DataFrame, size: int, compose: bool) -> DataFrame:
+    """Blocks with the group (grp) that greedy packing gives them."""
     sized = blocks.withColumn("n", T.token_count(F.col("text"), compose))
     keep = [c for c in ("block_ord", "text", "is_heading", "n", "source_path") if c in sized.columns]
     rows = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*keep))).alias("b"))
     rows = rows.withColumn("g", packing(size)(F.transform("b", lambda x: x["n"])))
-    flat = rows.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("x")).select("doc_id", *[F.col(f"x.b.{c}").alias(c) for c in keep if c != "n"], F.col("x.g").alias("grp"))
-    return _emit(_merged(flat, "doc_id", "grp"), size, overlap, False, compose)
+    return rows.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("x")).select("doc_id", *[F.col(f"x.b.{c}").alias(c) for c in keep if c != "n"], F.col("x.g").alias("grp"))
+
+
+def recursive(blocks: DataFrame, size: int = 300, overlap: int = 40, compose: bool = True) -> DataFrame:
+    """CHK2: whole blocks are packed greedily while they fit."""
+    return _emit(_merged(_packed(blocks, size, compose), "doc_id", "grp"), size, overlap, False, compose)
 
 
 def _sections(blocks: DataFrame) -> DataFrame:
@@ -122,10 +126,9 @@ def parent_child(blocks: DataFrame, size: int = 220, overlap: int = 35, compose:
 
 
 def paragraphs(docs: DataFrame, max_tokens: int = 300, compose: bool = True) -> DataFrame:
-    """CHK5: (doc_id, chunk_id, text) of greedily packed paragraphs, for question generation."""
-    blocks = parse_blocks(docs, r"\n\s*\n")
-    state = recursive(blocks, max_tokens, 0, compose)
-    return state.select("doc_id", F.format_string("%s:synthetic:%04d", F.col("doc_id"), F.col("chunk_ord") + 1).alias("chunk_id"), "text")
+    """CHK5: (doc_id, chunk_id, text) of greedily packed paragraphs, for question generation; one that is too long stays whole, and chunks are counted over the corpus."""
+    groups = _merged(_packed(parse_blocks(docs, r"\n\s*\n"), max_tokens, compose), "doc_id", "grp").select("doc_id", F.col("grp").alias("chunk_ord"), "text")
+    return corpus_ordinals(groups).select("doc_id", F.format_string("%s:synthetic:%04d", F.col("doc_id"), F.col("chunk_ord") + 1).alias("chunk_id"), "text")
 
 
 def corpus_ordinals(chunks: DataFrame) -> DataFrame:
