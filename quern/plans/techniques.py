@@ -80,6 +80,8 @@ def missing(technique: Technique, providers: Providers, mode: str = "full_rag")
 def ingest(docs: DataFrame, technique: Technique, providers: Providers | None = None, separator: str = "\n\n", compose: bool = True) -> DataFrame:
     """Nodes of docs (doc_id, text)."""
     p = providers or Providers()
+    if "embed" in technique.needs and p.embed is None:
+        raise ValueError(f"{technique.name} needs embed")
     blocks = chunking.clean(chunking.parse_blocks(docs, separator), compose)
     chunks = CHUNKERS[technique.chunker](blocks, technique.size, technique.overlap, compose)
     nodes = chunking.contextualize(chunks, chunking.document_texts(blocks), p.context, compose=compose) if technique.contextual else chunking.enrich(chunks, technique.title)
