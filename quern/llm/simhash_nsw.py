@@ -39,6 +39,8 @@ JACCARD = 0.5
 MINIMA, UNSURE = 128, 0.12
 TREES, DEPTH = 14, 4
 SHARD_NODES, OVERLAP = 8192, 64
+#: Unsettled pairs that a shard's search holds.
+OPEN_PAIRS = 1 << 20
 AUDIT, AUDIT_RECALL = 64, 0.95
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -142,8 +144,11 @@ class _Union:
         return True
 
 
-def shard_edges(code: np.ndarray, sig: np.ndarray, radius: int, threshold: float, beam: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Positions into ``code`` (m, 2) of the edges, a forest over the shard's nodes; and of the pairs that minima don't settle and no edges connect."""
+def shard_edges(code: np.ndarray, sig: np.ndarray, radius: int, threshold: float, beam: int = 12) -> Iterator[tuple[np.ndarray, bool]]:
+    """(positions into ``code`` (m, 2), sure): the edges, a forest over the shard's nodes; and pairs that minima don't settle and no edges connect.
+
+    The latter are held as one number each and go out whenever ``OPEN_PAIRS`` of them are left, so their memory is bounded.
+    """
     n = len(code)
     forest: list[tuple[int, int]] = []
     open_pairs: list[np.ndarray] = []
@@ -165,37 +170,44 @@ def shard_edges(code: np.ndarray, sig: np.ndarray, radius: int, threshold: float
                     forest.append((x, y))
             unsure = ~good & (like > threshold - UNSURE)
             if unsure.any():
-                open_pairs.append(np.stack([i[now][unsure], j[now][unsure]], axis=1))
+                open_pairs.append(i[now][unsure] * n + j[now][unsure])
             i, j = i[~now], j[~now]
 
-    def result() -> tuple[np.ndarray, np.ndarray]:
-        rest = np.concatenate([np.zeros((0, 2), np.int64), *open_pairs])
-        root = union.roots()
-        return np.asarray(forest, np.int64).reshape(-1, 2), np.unique(rest[root[rest[:, 0]] != root[rest[:, 1]]], axis=0)
+    def settle(last: bool = False) -> Iterator[tuple[np.ndarray, bool]]:
+        if last or sum(map(len, open_pairs)) > OPEN_PAIRS:
+            rest = np.unique(np.concatenate([np.zeros(0, np.int64), *open_pairs]))
+            root = union.roots()
+            rest = rest[root[rest // n] != root[rest % n]]
+            open_pairs[:] = [rest]
+            if last or len(rest) > OPEN_PAIRS // 2:
+                yield np.stack([rest // n, rest % n], axis=1), False
+                open_pairs.clear()
 
     if n < EXACT_BELOW:
         for i, j in exact_pairs(code, radius):
             verify(i, j)
-        return result()
-    audit = np.unique(np.linspace(n // 2, n - 1, AUDIT).astype(np.int64))
-    truth = [np.concatenate(x) for x in zip(*exact_pairs(code, radius, audit), strict=True)]
-    truth = np.unique(truth[0] * n + truth[1])
-    while True:
-        seen = []
-        for i, j in Graph(code, beam).insert_all(radius):
-            own = np.isin(i, audit)
-            if own.any():
-                seen.append(i[own] * n + j[own])
-            verify(i, j)
-        hit = np.isin(truth, np.concatenate(seen)).sum() if seen else 0
-        if hit >= AUDIT_RECALL * len(truth):
-            break
-        beam *= 2
-        if beam > 64:
+    else:
+        audit = np.unique(np.linspace(n // 2, n - 1, AUDIT).astype(np.int64))
+        truth = [np.concatenate(x) for x in zip(*exact_pairs(code, radius, audit), strict=True)]
+        truth = np.unique(truth[0] * n + truth[1])
+        while beam <= 64:
+            seen = []
+            for i, j in Graph(code, beam).insert_all(radius):
+                own = np.isin(i, audit)
+                if own.any():
+                    seen.append(i[own] * n + j[own])
+                verify(i, j)
+                yield from settle()
+            hit = np.isin(truth, np.concatenate(seen)).sum() if seen else 0
+            if hit >= AUDIT_RECALL * len(truth):
+                break
+            beam *= 2
+        else:
             for i, j in exact_pairs(code, radius):
                 verify(i, j)
-            break
-    return result()
+                yield from settle()
+    yield np.asarray(forest, np.int64).reshape(-1, 2), True
+    yield from settle(True)
 
 
 def shard_ends(tree: np.ndarray, key: np.ndarray, most: int, last: bool) -> tuple[list[tuple[int, int]], int]:
@@ -229,7 +241,7 @@ def edges(nodes: DataFrame, radius: int = RADIUS, threshold: float = JACCARD, sh
         own = np.flatnonzero(met)
         own = own[np.argsort(node[own], kind="stable")]  # in order of hash, so that early links reach far
         if len(own):
-            for e, sure in zip(shard_edges(code[own], sig[own], radius, threshold), (True, False), strict=True):
+            for e, sure in shard_edges(code[own], sig[own], radius, threshold):
                 if len(e):
                     yield pa.RecordBatch.from_arrays([pa.array(node[own][e[:, 0]]), pa.array(node[own][e[:, 1]]), pa.array(np.full(len(e), sure))], ["a", "b", "sure"])
 
