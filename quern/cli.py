@@ -117,9 +117,10 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace, name: str, artifact: str, out: str, seed: int | None = None) -> dict[str, Any]:
+    t = technique(name, a.config)
     nodes, manifest = files.load_artifact(spark, artifact, name)
     items = prepared.evaluation_items(spark, a.dataset)
-    return runner.run_evaluation(items, nodes, technique(name, a.config), out, a.cutoffs, load_providers(a.providers), a.mode, a.profile, batch=a.batch, warmup=a.warmup_queries, repetitions=a.latency_repetitions, most_cost=a.max_estimated_cost_usd, seed=a.seed if seed is None else seed, lock={"artifact": manifest["files_fingerprint"]})
+    return runner.run_evaluation(items, nodes, t, out, a.cutoffs, load_providers(a.providers), a.mode, a.profile, batch=a.batch, warmup=a.warmup_queries, repetitions=a.latency_repetitions, most_cost=a.max_estimated_cost_usd, seed=a.seed if seed is None else seed, lock={"artifact": manifest["files_fingerprint"]})
 
 
 def _bench(spark: SparkSession, a: argparse.Namespace, out: str, seed: int) -> list[dict[str, Any]]:
@@ -151,9 +152,10 @@ def run(argv: Sequence[str] | None, spark: SparkSession | None = None) -> Any:
     if a.command == "ingest":
         return _ingest(spark, technique(a.technique, a.config), load_providers(a.providers), a.input, a.output)
     if a.command == "query":
-        nodes, _ = files.load_artifact(spark, a.artifact, a.technique)
+        t = technique(a.technique, a.config)
+        nodes, _ = files.load_artifact(spark, a.artifact, t.name)
         asked = spark.createDataFrame([("q", a.query)], "question_id string, question string")
-        return techniques.query(asked, nodes, technique(a.technique, a.config), load_providers(a.providers), a.mode).first().asDict(True)
+        return techniques.query(asked, nodes, t, load_providers(a.providers), a.mode).first().asDict(True)
     if a.command == "eval":
         return _evaluate(spark, a, a.technique, a.artifact, a.output)
     if a.command == "compare":
