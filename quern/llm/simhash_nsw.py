@@ -1,7 +1,7 @@
 """Operator 10, near-duplicate removal: SimHash, small-world graphs over Hamming distance, verified edges unioned.
 
 A document's code is a 128-bit SimHash of its word pairs; beside it go ``MINIMA`` minima of the same pairs, a byte each.
-Documents of equal code and minima are one node. Nodes go to shards; each shard builds a navigable small-world graph,
+Documents of the same word pairs, each as often, are one node. Nodes go to shards; each shard builds a navigable small-world graph,
 in which every node is a query with an expanding beam (see ``_nsw``), and audits the recall of ``AUDIT`` of its queries
 against exact search: below ``AUDIT_RECALL`` the graph is built again with a doubled beam, in the end the shard is
 compared pair by pair. A pair within ``RADIUS`` bits becomes an edge if its Jaccard index reaches ``JACCARD``. The share of equal minima settles
@@ -14,6 +14,11 @@ the minima agree least. So a shard holds all nodes that agree in as many minima
 all of them with a probability of (1 - JACCARD ** L) ** TREES: below 0.01 % at L = 1, 2 % at L = 2. Where more nodes than a shard holds agree in all minima, runs overlap by ``OVERLAP`` nodes.
 A node that shares its first minimum with no other has no neighbour in that tree. ``audit`` compares sampled nodes with all nodes.
 
+What graphs, trees and minima miss is found by an exact join (``missed``), so that every pair of nodes within ``RADIUS`` bits and of a Jaccard index of at least
+``JACCARD`` is in one group. It puts the word pairs of each node in one order for all nodes, frequent ones last: two sets of that index share one of the first n - ceil(JACCARD * n) + 1 of their n
+word pairs. Nodes with such a word pair in common that are in different groups, of sizes and places that allow the index, are compared by code, then by whole sets. Which word pairs are
+frequent is read from a sample; that decides how many nodes are compared, not which pairs are found.
+
 Defined results: null, empty and wordless texts are never near-duplicates; a single word is compared by itself; of a
 group the least doc_id stays (nulls last, then the least text hash); rows equal in id and text are copies of each other, one stays;
 very long texts count whole; ids may be of any type; an empty table gives no pairs; other columns are carried through ``deduplicate`` untouched.
@@ -42,6 +47,9 @@ SHARD_NODES, OVERLAP = 8192, 64
 #: Unsettled pairs that a shard's search holds.
 OPEN_PAIRS = 1 << 20
 AUDIT, AUDIT_RECALL = 64, 0.95
+#: Documents that frequent word pairs are looked for in, about, and how many of these go last; bytes of text a class of word pairs, and postings held while pairs are collected.
+ORDER_DOCS, FREQUENT = 20_000, 1 << 18
+CLASS_BYTES, HELD = 24 << 20, 1 << 20
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -94,11 +102,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.count_nonzero(a == b, axis=1) / MINIMA - 1 / 256) / (1 - 1 / 256)
 
 
-SIGNED = "doc_id {0}, th bigint, h0 bigint, h1 bigint, sig binary, trees array<bigint>"
+def bags(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """One hash of the features h[ptr[i]:ptr[i+1]] of each row, whatever their order; all rows have some."""
+    return np.add.reduceat(mix(h ^ np.uint64(0xD6E8FEB86659FD93)), ptr[:-1]).view(np.int64)
+
+
+SIGNED = "doc_id {0}, th bigint, node bigint, h0 bigint, h1 bigint, sig binary, trees array<bigint>"
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, h0, h1, sig, trees) of each row with words; th is the text's hash, trees the DEPTH minima of each tree, 16 bits each."""
+    """(doc_id, th, node, h0, h1, sig, trees) of each row with words; th is the text's hash, node that of its word pairs, trees the DEPTH minima of each tree, 16 bits each."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
@@ -119,7 +132,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     key = (key << np.uint64(16)) | parts[:, :, d]
                 trees = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TREES), pa.array(key.ravel().view(np.int64)))
                 at = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), pa.array([x.tobytes() for x in sig], pa.binary()), trees], ["doc_id", "th", "h0", "h1", "sig", "trees"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), pa.array(bags(h, own)), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), pa.array([x.tobytes() for x in sig], pa.binary()), trees], ["doc_id", "th", "node", "h0", "h1", "sig", "trees"])
 
     return docs.mapInArrow(run, SIGNED.format(kind))
 
@@ -305,23 +318,185 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold:
     return rows.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def sets_of(view: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and codes of the rows with words, and their distinct features h[ptr[i]:ptr[i+1]], sorted."""
+    h, ptr = features(words(view))
+    rows = np.flatnonzero(np.diff(ptr))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), h, np.zeros(1, np.int64)
+    row = np.repeat(np.arange(len(rows)), np.diff(ptr)[rows])
+    own = np.append(ptr[rows], ptr[-1])
+    node, code = bags(h, own), codes(h, own)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return node, code, h[new], np.searchsorted(row[new], np.arange(len(rows) + 1))
+
+
+def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Features that several of about ORDER_DOCS documents have, at most FREQUENT of them, in order of frequency."""
+    every = max(1, -(-docs.count() // ORDER_DOCS))
+    some = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(sets_of(view)[2], return_counts=True) for _, view in text_views(b["text"])]
+            if own:
+                h, at = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in own]), len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["f", "n"])
+
+    found = some.mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
+    t = found.orderBy(F.desc("n"), "f").limit(FREQUENT).toArrow()
+    return t["f"].to_numpy()[::-1].copy().view(np.uint64)
+
+
+def prefixes(h: np.ndarray, ptr: np.ndarray, last: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row, place) of the first n - ceil(threshold * n) + 1 of the n features of each row, in the order of hashes, with those of ``last`` at the end in their order."""
+    n = np.diff(ptr)
+    row = np.repeat(np.arange(len(n)), n)
+    key = h >> np.uint64(1)
+    if len(last):
+        by = np.argsort(last)
+        x = np.minimum(np.searchsorted(last[by], h), len(last) - 1)
+        hot = last[by[x]] == h
+        key[hot] = np.uint64(1 << 63) + by[x[hot]].astype(np.uint64)
+    order = np.lexsort((key, row))
+    place = np.arange(len(h)) - ptr[:-1][row]
+    first = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[row]
+    return h[order][first], row[first], place[first]
+
+
+def sharing(f: np.ndarray, node: np.ndarray, code: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, radius: int, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of nodes (m, 2), lesser first, of different roots and codes within ``radius`` that share one of the features, if sizes and places let them reach the threshold."""
+    order = np.lexsort((size, f))
+    f, node, code, size, place, root = (x[order] for x in (f, node, code, size, place, root))
+    head = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+    if not len(head):
+        return
+    # a feature of one group alone, as copies have many, is left out
+    apart = np.repeat(np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head), np.diff(np.append(head, len(f))))
+    f, node, code, size, place, root = (x[apart] for x in (f, node, code, size, place, root))
+    left = size - place
+    held: list[np.ndarray] = []
+    i, d = np.arange(len(f)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(f)]
+        i = i[(f[i] == f[i + d]) & (size[i] >= threshold * size[i + d] - 1e-9)]  # sizes rise, so none further on fits either
+        j = i + d
+        good = (root[i] != root[j]) & (np.minimum(left[i], left[j]) >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-6)
+        x, y = i[good], j[good]
+        near = hamming(code[x], code[y]) <= radius
+        if near.any():
+            held.append(np.sort(np.stack([node[x[near]], node[y[near]]], axis=1), axis=1))
+            if sum(map(len, held)) > HELD:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > HELD // 2:
+                    yield held.pop()
+    if held:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def missed(docs: DataFrame, roots: DataFrame, text: str = "text", radius: int = RADIUS, threshold: float = JACCARD) -> DataFrame:
+    """(a, b): pairs of nodes within ``radius`` and not in one group by (node, root), among which are all that reach the threshold; a prefix join, see above.
+
+    Word pairs are dealt to classes by hash. A row of what is shuffled holds all that a part of a task has for a class: 8 bytes a word pair, and 28 a node.
+    """
+    spark = docs.sparkSession
+    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    classes = -(-volume // CLASS_BYTES) or 1
+    t = roots.select("node", "root").toArrow()
+    known = np.stack([t["node"].to_numpy(), t["root"].to_numpy()])
+    shared = spark.sparkContext.broadcast((frequent(docs, text), known[:, np.argsort(known[0])]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value[0]
+        parts: list[tuple[np.ndarray, ...]] = []
+        nodes, count = [], [0, 0]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            f, at, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            node, code, size = (np.concatenate(x) for x in zip(*nodes, strict=True))
+            kind = (f % np.uint64(classes)).astype(np.int64)
+            order = np.argsort(kind, kind="stable")  # rows stay in order within a class
+            f, at, place, kind = ((f >> np.uint64(32)).astype(np.uint32)[order], at[order], place[order], kind[order])
+            head = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+            blobs = []
+            for x, y in zip(head, np.append(head[1:], len(kind)), strict=True):
+                own, low = np.unique(at[x:y], return_inverse=True)
+                blobs.append([z.tobytes() for z in (f[x:y], low.astype(np.uint16), np.minimum(place[x:y], 65535).astype(np.uint16), node[own], code[own], size[own].astype(np.uint32))])
+            yield pa.RecordBatch.from_arrays([pa.array(kind[head]), *[pa.array(z, pa.binary()) for z in zip(*blobs, strict=True)]], ["kind", "f", "at", "place", "node", "code", "size"])
+            parts.clear()
+            nodes.clear()
+            count[:] = 0, 0
+
+        for b in batches:
+            for _, view in text_views(b["text"]):
+                for one in range(0, len(view), 8192):
+                    node, code, h, ptr = sets_of(view.slice(one, 8192))
+                    if not len(node):
+                        continue
+                    if count[0] + len(node) > 65536:
+                        yield from out()
+                    f, row, place = prefixes(h, ptr, last, threshold)
+                    parts.append((f, row + count[0], place))
+                    nodes.append((node, code, np.diff(ptr)))
+                    count[:] = count[0] + len(node), count[1] + len(f)
+                    if count[1] > HELD:
+                        yield from out()
+        if parts:
+            yield from out()
+
+    def meet(t: pa.Table) -> pa.Table:
+        parts = []
+        for r in t.to_pylist():
+            f, at, place, node, code, size = (np.frombuffer(r[c], k) for c, k in (("f", np.uint32), ("at", np.uint16), ("place", np.uint16), ("node", np.int64), ("code", np.uint64), ("size", np.uint32)))
+            parts.append((f, node[at], code.reshape(-1, 2)[at], size[at].astype(np.int32), place.astype(np.int32)))
+        f, node, code, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, node, f))  # copies of a node have equal postings
+        new = np.append(True, (np.diff(f[order]) != 0) | (np.diff(node[order]) != 0))
+        f, node, code, size, place = (x[order][new] for x in (f, node, code, size, place))
+        who, root = shared.value[1]
+        top = node.copy()
+        if len(who):
+            x = np.minimum(np.searchsorted(who, node), len(who) - 1)
+            top = np.where(who[x] == node, root[x], node)
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *sharing(f, node, code, size, place, top, radius, threshold)])
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(deal, "kind bigint, f binary, at binary, place binary, node binary, code binary, size binary")
+    return dealt.groupBy("kind").applyInArrow(meet, "a bigint, b bigint")
+
+
 def links(signed: DataFrame, docs: DataFrame, text: str = "text", radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(node, root) of the nodes that have a near-duplicate; root is the least node of its group."""
     nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("h0", "h1", "sig", "trees")])
     found = write_table(edges(nodes, radius, threshold, shard_nodes), "simhash-edges")
+    texts = signed.groupBy("node").agg(F.min("th").alias("th"))
+
+    def whole(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that are edges by whole sets."""
+        for c in ("a", "b"):
+            pairs = pairs.join(texts.select(F.col("node").alias(c), F.col("th").alias(f"t{c}")), c)
+        return confirmed(write_table(pairs, name), docs, text, threshold)
+
     sure = found.where("sure").select("a", "b")
     unsure = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if unsure.isEmpty():
-        return components(sure)
-    texts = signed.groupBy("node").agg(F.min("th").alias("th"))
-    for c in ("a", "b"):
-        unsure = unsure.join(texts.select(F.col("node").alias(c), F.col("th").alias(f"t{c}")), c)
-    return components(sure.unionByName(confirmed(write_table(unsure, "simhash-unsure"), docs, text, threshold)))
+    if not unsure.isEmpty():
+        sure = sure.unionByName(whole(unsure, "simhash-unsure"))
+    groups_ = write_table(components(sure), "simhash-groups")
+    rest = write_table(missed(docs, groups_, text, radius, threshold), "simhash-missed").distinct()
+    more = write_table(whole(rest, "simhash-rest"), "simhash-more")
+    if more.isEmpty():
+        return groups_
+    return components(groups_.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = AUDIT, radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(distance, pairs, met): pairs of about ``sample`` nodes with any of all nodes that are edges by exact search over codes and minima, and those of them that are in one group."""
-    signed = write_table(signatures(docs, doc_id, text).withColumn("node", F.xxhash64("h0", "h1", "sig")), "simhash")
+    signed = write_table(signatures(docs, doc_id, text), "simhash")
     root = links(signed, docs, text, radius, threshold, shard_nodes)
     nodes = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("h0", "h1", "sig")]).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = write_table(nodes, "simhash-audit")
@@ -348,7 +523,7 @@ def audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, threshold: float = JACCARD, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(doc_id, th, grp, keep_id, keep_th, rn) of all rows with words; rn 1 is the one of its group that stays."""
-    signed = write_table(signatures(docs, doc_id, text).withColumn("node", F.xxhash64("h0", "h1", "sig")), "simhash")
+    signed = write_table(signatures(docs, doc_id, text), "simhash")
     found = links(signed, docs, text, radius, threshold, shard_nodes)
     w = Window.partitionBy("grp")
     order = [F.col("doc_id").asc_nulls_last(), F.col("th")]

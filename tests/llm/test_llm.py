@@ -502,6 +502,28 @@ def test_op10_hot_family_and_audit(spark):
     assert row["p"] > 10_000 and row["m"] >= 0.99 * row["p"]
 
 
+def test_op10_keeps_pairs_that_minima_misjudge(spark):
+    texts = []
+    for i in (219, 682, 1629, 1997, 3739):  # 40 of 80 word pairs are shared, of the minima fewer by chance
+        texts += [" ".join([f"s{i}x{k}" for k in range(41)] + [f"{end}{i}x{k}" for k in range(20)]) for end in "ab"]
+    h, ptr = simhash_nsw.features(words(pa.array(texts)))
+    sig = (simhash_nsw.minima(h, ptr) & 0xFF).astype(np.uint8)
+    assert (simhash_nsw.jaccard(sig[::2], sig[1::2]) <= simhash_nsw.JACCARD - simhash_nsw.UNSURE).all()
+    want = {i: g for i, g in enumerate(similar(texts)) if i != g}
+    assert len(want) == 5 and {r["doc_id"]: r["dup_of"] for r in simhash_nsw.duplicates(table(spark, texts)).collect()} == want
+
+
+def test_op10_join_finds_all_pairs_that_reach_the_threshold():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(30, rng.integers(1, 25)).astype(np.uint64) ** np.uint64(9)) for _ in range(300)]
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for last in (np.zeros(0, np.uint64), np.arange(10, 25).astype(np.uint64) ** np.uint64(9)):
+        f, row, place = simhash_nsw.prefixes(np.concatenate(sets), ptr, last, 0.5)
+        got = {tuple(p) for x in simhash_nsw.sharing(f, row, np.zeros((len(row), 2), np.uint64), np.diff(ptr)[row], place, row, 0, 0.5) for p in x.tolist()}
+        want = {(i, j) for j in range(300) for i in range(j) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+        assert len(want) > 20 and want <= got
+
+
 def test_op10_shards_end_where_minima_agree_least():
     rng = np.random.default_rng(4)
     key = np.sort(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(48) | rng.integers(0, 3, 3000).astype(np.uint64))
