@@ -49,7 +49,7 @@ OPEN_PAIRS = 1 << 20
 AUDIT, AUDIT_RECALL = 64, 0.95
 #: Documents that frequent word pairs are looked for in, about, and how many of these go last; bytes of text a class of word pairs, and postings held while pairs are collected.
 ORDER_DOCS, FREQUENT = 20_000, 1 << 18
-CLASS_BYTES, HELD = 24 << 20, 1 << 20
+CLASS_BYTES, HELD = 12 << 20, 1 << 19
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -318,6 +318,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold:
     return rows.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def by_row(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Order by row, then key."""
+    order = np.argsort(key)
+    row = row[order]
+    return order[np.argsort(row.astype(np.uint16) if len(row) and row.max() < 65536 else row, kind="stable")]
+
+
 def sets_of(view: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Nodes and codes of the rows with words, and their distinct features h[ptr[i]:ptr[i+1]], sorted."""
     h, ptr = features(words(view))
@@ -327,15 +334,15 @@ def sets_of(view: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     row = np.repeat(np.arange(len(rows)), np.diff(ptr)[rows])
     own = np.append(ptr[rows], ptr[-1])
     node, code = bags(h, own), codes(h, own)
-    order = np.lexsort((h, row))
+    order = by_row(h, row)
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return node, code, h[new], np.searchsorted(row[new], np.arange(len(rows) + 1))
 
 
-def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Features that several of about ORDER_DOCS documents have, at most FREQUENT of them, in order of frequency."""
+def frequent(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features that several of about ORDER_DOCS documents have, at most FREQUENT of them, and their ranks by frequency."""
     every = max(1, -(-docs.count() // ORDER_DOCS))
     some = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(F.col(text).alias("text"))
 
@@ -349,28 +356,30 @@ def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     found = some.mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
     t = found.orderBy(F.desc("n"), "f").limit(FREQUENT).toArrow()
-    return t["f"].to_numpy()[::-1].copy().view(np.uint64)
+    f = t["f"].to_numpy()[::-1].copy().view(np.uint64)
+    rank = np.argsort(f)
+    return f[rank], rank.astype(np.uint64)
 
 
-def prefixes(h: np.ndarray, ptr: np.ndarray, last: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, row, place) of the first n - ceil(threshold * n) + 1 of the n features of each row, in the order of hashes, with those of ``last`` at the end in their order."""
+def prefixes(h: np.ndarray, ptr: np.ndarray, last: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, row, place) of the first n - ceil(threshold * n) + 1 of the n features of each row, in the order of hashes, with those of ``last`` (sorted, ranks) at the end by rank."""
     n = np.diff(ptr)
     row = np.repeat(np.arange(len(n)), n)
     key = h >> np.uint64(1)
-    if len(last):
-        by = np.argsort(last)
-        x = np.minimum(np.searchsorted(last[by], h), len(last) - 1)
-        hot = last[by[x]] == h
-        key[hot] = np.uint64(1 << 63) + by[x[hot]].astype(np.uint64)
-    order = np.lexsort((key, row))
+    known, rank = last
+    if len(known):
+        x = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hot = known[x] == h
+        key[hot] = np.uint64(1 << 63) + rank[x[hot]]
+    order = by_row(key, row)
     place = np.arange(len(h)) - ptr[:-1][row]
     first = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[row]
     return h[order][first], row[first], place[first]
 
 
 def sharing(f: np.ndarray, node: np.ndarray, code: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, radius: int, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes (m, 2), lesser first, of different roots and codes within ``radius`` that share one of the features, if sizes and places let them reach the threshold."""
-    order = np.lexsort((size, f))
+    """Pairs of nodes (m, 2), lesser first, of different roots and codes within ``radius`` that share one of the features (32 bits of each), if sizes and places let them reach the threshold."""
+    order = np.argsort(f.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))
     f, node, code, size, place, root = (x[order] for x in (f, node, code, size, place, root))
     head = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
     if not len(head):
@@ -455,7 +464,8 @@ def missed(docs: DataFrame, roots: DataFrame, text: str = "text", radius: int =
             f, at, place, node, code, size = (np.frombuffer(r[c], k) for c, k in (("f", np.uint32), ("at", np.uint16), ("place", np.uint16), ("node", np.int64), ("code", np.uint64), ("size", np.uint32)))
             parts.append((f, node[at], code.reshape(-1, 2)[at], size[at].astype(np.int32), place.astype(np.int32)))
         f, node, code, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, node, f))  # copies of a node have equal postings
+        # copies of a node have equal postings; nodes of one lower half may keep some, which gives no pairs
+        order = np.argsort(f.astype(np.uint64) << np.uint64(32) | node.view(np.uint64) & np.uint64(0xFFFFFFFF))
         new = np.append(True, (np.diff(f[order]) != 0) | (np.diff(node[order]) != 0))
         f, node, code, size, place = (x[order][new] for x in (f, node, code, size, place))
         who, root = shared.value[1]

@@ -518,8 +518,8 @@ def test_op10_join_finds_all_pairs_that_reach_the_threshold():
     sets = [np.unique(rng.choice(30, rng.integers(1, 25)).astype(np.uint64) ** np.uint64(9)) for _ in range(300)]
     ptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     for last in (np.zeros(0, np.uint64), np.arange(10, 25).astype(np.uint64) ** np.uint64(9)):
-        f, row, place = simhash_nsw.prefixes(np.concatenate(sets), ptr, last, 0.5)
-        got = {tuple(p) for x in simhash_nsw.sharing(f, row, np.zeros((len(row), 2), np.uint64), np.diff(ptr)[row], place, row, 0, 0.5) for p in x.tolist()}
+        f, row, place = simhash_nsw.prefixes(np.concatenate(sets), ptr, (last, np.arange(len(last))[::-1].astype(np.uint64)), 0.5)
+        got = {tuple(p) for x in simhash_nsw.sharing(np.unique(f, return_inverse=True)[1], row, np.zeros((len(row), 2), np.uint64), np.diff(ptr)[row], place, row, 0, 0.5) for p in x.tolist()}
         want = {(i, j) for j in range(300) for i in range(j) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
         assert len(want) > 20 and want <= got
 
