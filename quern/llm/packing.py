@@ -1,7 +1,7 @@
 """Operator 9, related-document packing: a nearest-neighbour graph, greedy low-degree-first paths, windows filled along them.
 
-Similarity is the Jaccard index of two documents' sets of words, each word weighted by its squared idf (of at most ``SAMPLE`` documents
-dealt by hash; words of fewer than ``COMMON`` of those weigh alike). A document's signature is ``HASHES`` weighted minima over all of its
+Similarity is the Jaccard index of two documents' sets of words, each word weighted by its squared idf (counted in all
+documents; words of fewer than ``COMMON`` of them weigh alike). A document's signature is ``HASHES`` weighted minima over all of its
 words, so the share of equal places in two signatures is their similarity, with a standard error of at most 0.044. Candidates come from ``TREES`` MinHash
 trees: documents are sorted by ``DEPTH`` minima of each tree, and each is compared with the ``BESIDE`` next to it on either side. So common
 prefixes get longer where many documents share them, and no list is cut. The ``NEIGHBOURS`` most similar candidates are a document's
@@ -36,28 +36,42 @@ from quern.llm.simhash_nsw import components
 WINDOW = 2048
 NEIGHBOURS = 3
 HASHES, TREES, DEPTH, BESIDE = 128, 12, 4, 16
-#: Documents that word weights are counted in, about, and those that a word needs to have a weight of its own.
-SAMPLE, COMMON = 20_000, 8
+#: Documents that a word needs to have a weight of its own, and counts that a task holds.
+COMMON, HELD = 8, 1 << 20
 #: Documents of a shard, about.
 SHARD_DOCS = 32_768
 ROUNDS = 6
 
 
-def word_weights(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted hashes of the common words, their weights, and the weight of all others."""
-    every = max(1, math.ceil(docs.count() / sample))
-    some = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(F.col(text).alias("text"))
+def word_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted hashes of the common words of all documents, their weights, and the weight of all others."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        docs_here = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
+
         for b in batches:
             for _, view in text_views(b["text"]):
                 _, h, ptr = distinct_words(view)
-                h, n = np.unique(h, return_counts=True)
-                docs_here = int((np.diff(ptr) > 0).sum())
-                # a null word counts the documents
-                yield pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), docs_here], pa.int64())], ["word", "df"])
-
-    counted = some.mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
+                held.append(np.unique(h, return_counts=True))
+                docs_here += int((np.diff(ptr) > 0).sum())
+                if sum(len(x) for x, _ in held) > HELD:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        h, n = held.pop()
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "df"])
+        if held:
+            h, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "df"])
+        # a null word counts the documents
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs_here], pa.int64())], ["word", "df"])
+
+    counted = rows.mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
     t = counted.where(F.col("word").isNull() | (F.col("df") >= COMMON)).toArrow().combine_chunks()
     total = pa.compute.sum(t.filter(pa.compute.is_null(t["word"]))["df"]).as_py() or 0
     t = t.filter(pa.compute.is_valid(t["word"]))

@@ -386,6 +386,15 @@ def test_op9_neighbours_are_the_most_similar(spark):
     assert hit >= 0.9 * packing.NEIGHBOURS * len(texts)
 
 
+def test_op9_word_weights_count_all_documents(spark):
+    texts = [f"all w{i % 1000} x{i}" for i in range(21_000)]
+    known, weight, other = packing.word_weights(table(spark, texts))
+    df = Counter(x for t in texts for x in t.split() if x[0] != "x")
+    h = dict(zip(words(pa.array([" ".join(df)])).hash.tolist(), df.values(), strict=True))
+    assert set(known.tolist()) == set(h)
+    assert np.allclose(weight, [np.log1p(21_000 / h[x]) ** 2 for x in known.tolist()]) and np.isclose(other, np.log1p(21_000 / packing.COMMON) ** 2)
+
+
 def test_op9_walks_and_windows(spark, odd, none):
     ids = np.array([1, 2, 3, 4, 5])
     assert packing.walk(ids, [[2], [3], [2], [3, 1], None]) == [4, 0, 1, 2, 3]
