@@ -395,6 +395,14 @@ def test_op9_word_weights_count_all_documents(spark):
     assert np.allclose(weight, [np.log1p(21_000 / h[x]) ** 2 for x in known.tolist()]) and np.isclose(other, np.log1p(21_000 / packing.COMMON) ** 2)
 
 
+def test_pipeline_packs_by_weights_of_all_documents(spark, monkeypatch):
+    seen, signed = [], packing.signed
+    monkeypatch.setattr(packing, "signed", lambda docs, weights, *args: seen.append(weights) or signed(docs, weights, *args))
+    corpus_pipeline.pack(spark, table(spark, [f"all w{i % 1000} x{i}" for i in range(21_000)]), "")
+    known, weight, other = seen[0]
+    assert len(known) == 1001 and np.isclose(weight.min(), np.log1p(1) ** 2) and np.isclose(other, np.log1p(21_000 / packing.COMMON) ** 2)
+
+
 def test_op9_walks_and_windows(spark, odd, none):
     ids = np.array([1, 2, 3, 4, 5])
     assert packing.walk(ids, [[2], [3], [2], [3, 1], None]) == [4, 0, 1, 2, 3]
