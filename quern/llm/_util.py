@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.checkpoints import cut, store, table_path
 
-__all__ = ["buffers", "cut", "fresh", "hint_small", "table_path", "text_views", "write_table"]
+__all__ = ["buffers", "cut", "fresh", "hint_small", "table_path", "text_views", "trimmed", "write_table"]
 
 #: A side with at most so many rows may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -58,6 +61,33 @@ def text_views(col: pa.Array) -> Iterator[tuple[int, pa.Array]]:
             yield a, col.slice(a, b - a)
 
 
+def _trim() -> None:
+    """Give what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over the batches of a task, or over the table of a group, that gives freed memory back at its end. A worker is used again, for other operators too, and would keep the most that any task took."""
+
+    @functools.wraps(run)
+    def batches_trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    @functools.wraps(run)
+    def table_trimmed(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            _trim()
+
+    return batches_trimmed if inspect.isgeneratorfunction(run) else table_trimmed
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (int64, from 0) of a string or binary array."""
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)

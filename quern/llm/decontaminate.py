@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm._automaton import Matcher, chain
-from quern.llm._util import text_views
+from quern.llm._util import text_views, trimmed
 from quern.llm._words import chars, words
 
 #: Words of the shortest match that counts towards coverage.
@@ -97,6 +97,7 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     for shard in item_shards(items, item_id, item_text):
         m = spark.sparkContext.broadcast(_matcher(shard))
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
@@ -120,6 +121,7 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     for shard in item_shards(items, item_id, item_text):
         m = docs.sparkSession.sparkContext.broadcast(_matcher(shard))
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 new: dict[int, str | None] = {}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm._util import cut, fresh, hint_small, table_path, write_table
+from quern.llm._util import cut, fresh, hint_small, table_path, trimmed, write_table
 
 #: Entries a bucket holds before it is split, and rows of a key that one task takes.
 BUCKET_ROWS = 4096
@@ -142,6 +142,7 @@ def _chains(kind: pa.DataType):
     A row whose text is the one before it belongs to its chain; others are compared with the chain's texts so far.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chain, last = None, [], None
         for b in batches:

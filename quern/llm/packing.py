@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm._util import cut, hint_small, text_views, write_table
+from quern.llm._util import cut, hint_small, text_views, trimmed, write_table
 from quern.llm._words import mix, words
 from quern.llm.orc_tokens import encoder
 from quern.llm.simhash_nsw import components
@@ -47,6 +47,7 @@ def word_weights(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     """Sorted hashes of the common words of all documents, their weights, and the weight of all others."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         docs_here = 0
@@ -114,6 +115,7 @@ def signed(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], doc_i
     rows = docs.where(F.col(text).isNotNull()).select(d.alias("doc_id"), F.xxhash64(d, F.col(text)).alias("node"), size.cast("bigint").alias("size"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, view in text_views(b["text"]):
@@ -138,6 +140,7 @@ def signed(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], doc_i
 def most_similar(known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(node, near): the k most similar candidates of each node that has any, most similar first."""
 
+    @trimmed
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -148,6 +151,7 @@ def most_similar(known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
                         key = (key << np.uint64(16)) | sig[:, c]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64)), b["node"], b["sig"]], ["tree", "key", "node", "sig"])
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, sig = np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint16)
         for b in batches:
@@ -278,6 +282,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: st
     rows = one.join(graph, "node", "left").join(placed, "node").select("node", "doc_id", "size", "copies", "near", "shard")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @trimmed
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by("node")
         order = np.asarray(walk(t["node"].to_numpy(), t["near"].to_pylist()))

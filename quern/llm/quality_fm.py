@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._util import text_views, write_table
+from quern.llm._util import text_views, trimmed, write_table
 from quern.llm._words import Words, words
 
 #: Labelled rows at most that the machines are fitted on.
@@ -200,6 +200,7 @@ def _features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
     """(key, idx, x, z, quality, toxic) of the rows that have words; key is a hash of the row."""
     shared = rows.sparkSession.sparkContext.broadcast(slot)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, view in text_views(b["text"]):
@@ -216,6 +217,7 @@ def _features(rows: DataFrame, slot: np.ndarray) -> DataFrame:
 def _buckets(rows: DataFrame) -> DataFrame:
     """(bucket, good, toxic) of each word of each row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good, toxic = (np.asarray(pa.compute.equal(b[c], 1)).astype(np.int32) for c in ("quality", "toxic"))
@@ -232,6 +234,21 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, n int, good int, toxic int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
 
 
+def _ordered(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Rows and y of ``fit``, in order of key and labels. Each batch's values are copied once, so that it can go."""
+    rows, keys = [], [np.zeros((3, 0), np.int64)]
+    for b in batches:
+        data = []
+        for c in ("idx", "x", "z"):
+            offs, values = np.asarray(b[c].offsets), np.asarray(b[c].values)
+            data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
+        rows += [(i.copy(), np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)]
+        keys.append(np.stack([b[c].to_numpy().astype(np.int64) for c in ("key", "quality", "toxic")]))
+    key = np.concatenate(keys, axis=1)
+    order = np.lexsort(key[::-1])
+    return [rows[i] for i in order], (key[1:, order] == 1).T.astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rows: int = TRAIN_ROWS) -> Machines:
     """Machines fitted on a bounded sample of ``labels`` (doc_id, quality, toxic)."""
     labels = labels.where("doc_id is not null and quality is not null and toxic is not null")
@@ -250,16 +267,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     scale = scales(seen, labelled, np.array(y[1:], np.float64))
     shared = docs.sparkSession.sparkContext.broadcast((slot, scale))
 
+    @trimmed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), SAMPLE)
-        t = t.combine_chunks().sort_by([("key", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
-        data = []
-        for c in ("idx", "x", "z"):
-            col = t[c].combine_chunks()
-            offs, values = np.asarray(col.offsets), np.asarray(col.values)
-            data.append([values[a:e] for a, e in zip(offs[:-1], offs[1:], strict=True)])
-        y = np.stack([np.asarray(t["quality"]) == 1, np.asarray(t["toxic"]) == 1], axis=1).astype(np.float32).reshape(-1, 2)
-        m = fit([(i, np.stack([x, z], axis=1)) for i, x, z in zip(*data, strict=True)], y, *shared.value)
+        m = fit(*_ordered(batches), *shared.value)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(m)[:3])], pa.binary())], ["model"])
 
     got = _features(joined, slot).repartition(1).mapInArrow(learn, "model binary").first()
@@ -283,6 +293,7 @@ def score(docs: DataFrame, machines: Machines, doc_id: str = "doc_id", text: str
     rows = _inputs(docs, doc_id, text, lang, source)
     m = docs.sparkSession.sparkContext.broadcast(machines)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, has = _probabilities(m.value, b)
@@ -297,6 +308,7 @@ def keep(docs: DataFrame, machines: Machines, text: str = "text", lang: str = "l
     m = docs.sparkSession.sparkContext.broadcast(machines)
     names = dict(zip(("text", "lang", "source"), (text, lang, source), strict=True))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [b[c] if c in b.schema.names else pa.nulls(b.num_rows, pa.string()) for c in names.values()]

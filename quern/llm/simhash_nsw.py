@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm._nsw import EXACT_BELOW, Graph, exact_pairs, hamming
-from quern.llm._util import cut, fresh, hint_small, text_views, write_table
+from quern.llm._util import cut, fresh, hint_small, text_views, trimmed, write_table
 from quern.llm._words import Words, mix, words
 
 RADIUS = 34
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, view in text_views(b["text"]):
@@ -258,6 +259,7 @@ def edges(nodes: DataFrame, radius: int = RADIUS, threshold: float = JACCARD, sh
                 if len(e):
                     yield pa.RecordBatch.from_arrays([pa.array(node[own][e[:, 0]]), pa.array(node[own][e[:, 1]]), pa.array(np.full(len(e), sure))], ["a", "b", "sure"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, MINIMA), np.uint8)]
         for b in itertools.chain(batches, [None]):
@@ -297,6 +299,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold:
     wanted = pairs.select(F.col("ta").alias("th")).unionByName(pairs.select(F.col("tb").alias("th"))).distinct()
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(hint_small(wanted), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, view in text_views(b["text"]):
@@ -304,6 +307,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold:
                 own = [np.unique(h[x:y]).tobytes() for x, y in zip(ptr[:-1], ptr[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b["th"].slice(first, len(view)), pa.array(own, pa.binary())], ["th", "pairs"])
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -346,6 +350,7 @@ def frequent(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarra
     every = max(1, -(-docs.count() // ORDER_DOCS))
     some = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(F.col(text).alias("text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [np.unique(sets_of(view)[2], return_counts=True) for _, view in text_views(b["text"])]
@@ -420,6 +425,7 @@ def missed(docs: DataFrame, roots: DataFrame, text: str = "text", radius: int =
     known = np.stack([t["node"].to_numpy(), t["root"].to_numpy()])
     shared = spark.sparkContext.broadcast((frequent(docs, text), known[:, np.argsort(known[0])]))
 
+    @trimmed
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value[0]
         parts: list[tuple[np.ndarray, ...]] = []
@@ -458,6 +464,7 @@ def missed(docs: DataFrame, roots: DataFrame, text: str = "text", radius: int =
         if parts:
             yield from out()
 
+    @trimmed
     def meet(t: pa.Table) -> pa.Table:
         parts = []
         for r in t.to_pylist():
@@ -515,6 +522,7 @@ def audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     codes_ = np.stack([some["h0"].to_numpy(), some["h1"].to_numpy()], axis=1).view(np.uint64)
     sigs = np.frombuffer(b"".join(some["sig"].to_pylist()), np.uint8).reshape(-1, MINIMA)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
