@@ -13,6 +13,9 @@ from quern.operators import agent, answering, chunking, retrieval
 
 CHUNKERS = {"fixed": chunking.fixed_size, "recursive": chunking.recursive, "heading": chunking.heading_aware, "parent": chunking.parent_child}
 
+#: Chunkers that work within each document's row.
+ROW_CHUNKERS = {"fixed": chunking.fixed_size_rows, "parent": chunking.parent_child_rows}
+
 
 @dataclass(frozen=True)
 class Technique:
@@ -82,9 +85,16 @@ def ingest(docs: DataFrame, technique: Technique, providers: Providers | None =
     p = providers or Providers()
     if "embed" in technique.needs and p.embed is None:
         raise ValueError(f"{technique.name} needs embed")
+    if not compose and not technique.contextual and technique.chunker in ROW_CHUNKERS and "source_path" not in docs.columns and chunking.one_row_each(docs):
+        nodes = chunking.enrich(ROW_CHUNKERS[technique.chunker](docs, technique.size, technique.overlap, separator), technique.title)
+        return _with_vectors(nodes if not technique.title else nodes.drop("toks"), technique, p)
     blocks = chunking.clean(chunking.parse_blocks(docs, separator), compose)
     chunks = CHUNKERS[technique.chunker](blocks, technique.size, technique.overlap, compose)
     nodes = chunking.contextualize(chunks, chunking.document_texts(blocks), p.context, compose=compose) if technique.contextual else chunking.enrich(chunks, technique.title)
+    return _with_vectors(nodes, technique, p)
+
+
+def _with_vectors(nodes: DataFrame, technique: Technique, p: Providers) -> DataFrame:
     nodes = retrieval.node_ordinals(nodes)
     return nodes.withColumn("embedding", p.embed(F.col("text_for_embedding"))) if "embed" in technique.needs else nodes
 
