@@ -11,6 +11,7 @@ from quern.operators import retrieval
 SF = "/root/testdata/sf0.01"
 QUERIES = queries.QUERIES | queries_eval.QUERIES
 NAMES = [
+    "agent_trace",
     "bm25_topk",
 ]
 
