@@ -13,6 +13,7 @@ QUERIES = queries.QUERIES | queries_eval.QUERIES
 NAMES = [
     "agent_trace",
     "bm25_topk",
+    "chat_citations",
 ]
 
 
