@@ -14,6 +14,7 @@ NAMES = [
     "agent_trace",
     "bm25_topk",
     "chat_citations",
+    "context_budget",
 ]
 
 
