@@ -15,6 +15,7 @@ NAMES = [
     "bm25_topk",
     "chat_citations",
     "context_budget",
+    "gen_extractive",
 ]
 
 
