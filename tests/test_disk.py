@@ -16,6 +16,7 @@ NAMES = [
     "chat_citations",
     "context_budget",
     "gen_extractive",
+    "hybrid_linear",
 ]
 
 
