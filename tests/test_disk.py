@@ -17,6 +17,7 @@ NAMES = [
     "context_budget",
     "gen_extractive",
     "hybrid_linear",
+    "parent_child_slice",
 ]
 
 
