@@ -18,6 +18,7 @@ NAMES = [
     "gen_extractive",
     "hybrid_linear",
     "parent_child_slice",
+    "rerank_by_model",
 ]
 
 
