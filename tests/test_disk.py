@@ -19,6 +19,7 @@ NAMES = [
     "hybrid_linear",
     "parent_child_slice",
     "rerank_by_model",
+    "rerank_lexical",
 ]
 
 
