@@ -20,6 +20,7 @@ NAMES = [
     "parent_child_slice",
     "rerank_by_model",
     "rerank_lexical",
+    "rrf_fusion",
 ]
 
 
