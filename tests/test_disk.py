@@ -21,6 +21,7 @@ NAMES = [
     "rerank_by_model",
     "rerank_lexical",
     "rrf_fusion",
+    "ver_citation",
 ]
 
 
