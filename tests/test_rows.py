@@ -1,11 +1,16 @@
 """Chunks made within each document's row, against those made by shuffles."""
 
+import random
+import time
+
+import numpy as np
+import pytest
 from compare import SF
 from pyspark.sql import functions as F
 
 from quern import queries, queries_eval
 from quern.functions import text as T
-from quern.operators import chunking, retrieval
+from quern.operators import chunking, retrieval, statistics
 
 TEXTS = ["# One\na b c\n \nd , e ( f )\n# Two\n" + "x " * 30, "no heading\nLast.\n#\n# \n1. Point", "", None, " \n\t\n", "ΟΔΟΣ ΣΑΣ'Α Ǆ İx﻿y\nNEXT\nκ   z", "# only"]
 
@@ -59,3 +64,18 @@ def test_contexts_are_cut_once_for_each_document(spark):
     shuffled = chunking.contextualize(chunking.parent_child(blocks, 4, 1, False), chunking.document_texts(blocks), first, 3, False)
     columns = ("node_id", "text_for_embedding", "text_for_generation", "contextual_prefix")
     assert _rows(got, *columns) == _rows(shuffled, *columns)
+
+
+def test_resamples_are_those_of_the_python_generator():
+    for n in (1, 9, 16, 1000):
+        deltas = [random.Random(n).gauss(0, 1) for _ in range(n)]
+        rng = random.Random(7)
+        want = sorted(sum(rng.choice(deltas) for _ in deltas) / n for _ in range(50))
+        for words in (17, 4096):  # resamples that end within, and after, the words drawn at once
+            assert statistics.resampled_means(np.array(deltas), 50, 7, words) == pytest.approx(want, abs=1e-12)
+
+
+def test_a_bootstrap_of_20_million_draws_takes_seconds():
+    began = time.thread_time()
+    statistics.resampled_means(np.arange(20_000.0), 1_000, 42)
+    assert time.thread_time() - began < 4  # 0.4 s; 6.7 s with a call for each draw
